@@ -35,7 +35,7 @@ KNOWN_UNITS: dict[str, list[tuple[float, float, tuple[str, ...]]]] = {
 
 def tidy(v: Column) -> Column:
     """White space of any kind to single blanks, trimmed."""
-    return F.trim(F.regexp_replace(v, r"[\s   ]+", " "))
+    return F.trim(F.regexp_replace(v, r"[\s\u00a0\u2007\u202f]+", " "))
 
 
 def not_given(v: Column) -> Column:

@@ -80,7 +80,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p1_found, p1_welds, p1_bom_items, p2_found, p2_units, p2_common, p7_found, p7_report)}
 
 _KEY = "regexp_replace(regexp_extract({v}, '([0-9]+)[^0-9]*$', 1), '^0+([0-9])', '\\1')"
-_GIVEN = "{v} IS NOT NULL AND upper(regexp_replace({v}, '^[\\s\\x{00a0}]+|[\\s\\x{00a0}]+$', '', 'g')) NOT IN ('', '-', 'N/A', 'NA', 'XX', 'NIL', 'NIL.')"
+_GIVEN = "{v} IS NOT NULL AND upper(regexp_replace({v}, '^[\\s\\x{{00a0}}]+|[\\s\\x{{00a0}}]+$', '', 'g')) NOT IN ('', '-', 'N/A', 'NA', 'XX', 'NIL', 'NIL.')"
 
 
 def _p7_sql() -> str:
