@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import canonical, collapse, leakage, linkage, packing, split
+from . import canonical, collapse, leakage, linkage, packing, reading, split
 
 
 def _links(spark: SparkSession, d: str) -> linkage.Links:
@@ -81,9 +81,19 @@ def p9_matches(spark: SparkSession, d: str) -> DataFrame:
     return leakage.matches(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.levels(table(spark, d, "documents"), table(spark, d, "reading_labels")).filter("level = 4").select("doc_id")
+
+
+def p10_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Level of every English prose document with the share of each level."""
+    found = reading.levels(table(spark, d, "documents"), table(spark, d, "reading_labels")).filter("level is not null")
+    return found.select("doc_id", "level", *[F.round(f"p{k}", 3).alias(f"p{k}") for k in (1, 2, 3, 4)], "words")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p3_found, p3_links, p4_found, p4_collapsed, p5_found, p5_pieces, p6_found, p6_unmatched, p8_found, p8_packed, p9_found, p9_matches)
+    for f in (p3_found, p3_links, p4_found, p4_collapsed, p5_found, p5_pieces, p6_found, p6_unmatched, p8_found, p8_packed, p9_found, p9_matches, p10_found, p10_levels)
 }
 # p5_found in SQL: lengths of texts and of joined pages.
 _P5 = """
