@@ -1,28 +1,32 @@
 """Evaluation texts inside training texts (problem 9).
 
 A positional inverted index of the corpus is built for the words of the evaluation
-texts: one row per (word, document) with all positions, stored as a table. Document
-frequencies come from the index. In every window of MIN_WORDS words of an evaluation text
-the two rarest words are looked up and their position lists intersected after adjusting
-for their offsets; what is left is checked word by word against the index, which gives
-exact phrases (consecutive words in place) and proximity matches (most words in place).
+texts and stored as a table. It is partitioned by document: a row holds the posting lists
+(word to documents and positions) of a block of documents, so lists of one document always
+meet in one row and no intersection needs a shuffle. Document frequencies come from the
+index. In every window of MIN_WORDS words of an evaluation text the two rarest words are
+looked up and their position lists intersected after adjusting for their offsets; what is
+left is checked word by word against the index, which gives exact phrases (consecutive
+words in place) and proximity matches (most words in place).
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..runtime import guarded_broadcast, materialise
+from ..runtime import materialise
 
-#: Consecutive words that make a leak; words of such a window in place that make a proximity match; documents of one step.
-MIN_WORDS, NEAR_WORDS, STEP = 12, 9, 2_000
+#: Consecutive words that make a leak; words of such a window in place that make a proximity match; documents and
+#: characters from which a block is full (a document is never cut).
+MIN_WORDS, NEAR_WORDS, BLOCK_DOCS, BLOCK_CHARS = 12, 9, 2_000, 4_000_000
 _WORD = re.compile(rb"[a-z0-9]+")
 
 
@@ -31,33 +35,42 @@ def words(text: str) -> list[bytes]:
     return _WORD.findall(text.encode("utf-8", "surrogatepass").lower())
 
 
-def _indexer(vocabulary: dict[bytes, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    schema = pa.schema([("term", pa.int32()), ("doc_id", pa.int64()), ("positions", pa.list_(pa.int32()))])
+INDEX = "docs array<bigint>, terms array<int>, starts array<int>, doc array<int>, pos array<int>"
+
+
+def _block(ids: list[int], texts: list[str], get: Callable) -> pa.RecordBatch:
+    """Posting lists of one block: the postings of terms[i] are doc/pos[starts[i] : starts[i + 1]], sorted."""
+    term, doc, pos = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for k, text in enumerate(texts):
+        t = np.array([get(w, -1) for w in words(text)], dtype=np.int32)
+        p = np.flatnonzero(t >= 0).astype(np.int32)
+        pos.append(p)
+        term.append(t[p])
+        doc.append(np.full(len(p), k, dtype=np.int32))
+    t, d, p = np.concatenate(term), np.concatenate(doc), np.concatenate(pos)
+    order = np.argsort(t, kind="stable")  # document and position are in order already
+    t, d, p = t[order], d[order], p[order]
+    first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]]) if len(t) else np.zeros(0, np.int64)
+    one = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
+    cols = [one(np.asarray(ids, dtype=np.int64), pa.int64()), one(t[first], pa.int32()), one(np.r_[first, len(t)].astype(np.int32), pa.int32()), one(d, pa.int32()), one(p, pa.int32())]
+    return pa.RecordBatch.from_arrays(cols, names=["docs", "terms", "starts", "doc", "pos"])
+
 
+def _indexer(vocabulary: dict[bytes, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = vocabulary.get
+        ids, texts, chars = [], [], 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, STEP):
-                part = batch.slice(lo, STEP)
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                doc, term, pos = [], [], []
-                for k, text in enumerate(part.column(1).to_pylist()):
-                    if not text:
-                        continue
-                    t = np.array([get(w, -1) for w in words(text)], dtype=np.int32)
-                    p = np.flatnonzero(t >= 0).astype(np.int32)
-                    if len(p):
-                        pos.append(p)
-                        term.append(t[p])
-                        doc.append(np.full(len(p), k, dtype=np.int64))
-                if not pos:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not text or i is None:
                     continue
-                d, t, p = np.concatenate(doc), np.concatenate(term), np.concatenate(pos)
-                order = np.lexsort((p, d, t))
-                d, t, p = d[order], t[order], p[order]
-                new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (t[1:] != t[:-1])])
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[new, len(p)].astype(np.int32)), pa.array(p))
-                yield pa.RecordBatch.from_arrays([pa.array(t[new]), pa.array(ids[d[new]]), lists], schema=schema)
+                ids.append(i)
+                texts.append(text)
+                chars += len(text)
+                if len(ids) >= BLOCK_DOCS or chars >= BLOCK_CHARS:
+                    yield _block(ids, texts, vocabulary.get)
+                    ids, texts, chars = [], [], 0
+        if ids:
+            yield _block(ids, texts, vocabulary.get)
 
     return run
 
@@ -73,9 +86,16 @@ def eval_words(items: DataFrame) -> tuple[list[tuple[int, list[bytes]]], dict[by
 
 
 def build_index(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
-    """(term, doc_id, positions) over whole texts, stored; null and empty texts have no rows."""
+    """The index over whole texts, stored, one row per block of documents; null and empty texts have no postings."""
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return materialise(src.mapInArrow(_indexer(vocabulary), "term int, doc_id bigint, positions array<int>"), "postings")
+    return materialise(src.mapInArrow(_indexer(vocabulary), INDEX), "postings")
+
+
+def frequencies(index: DataFrame) -> dict[int, int]:
+    """Occurrences of every word of the vocabulary in the corpus: one row per word reaches the driver."""
+    n = F.zip_with("terms", F.sequence(F.lit(1), F.size("terms")), lambda t, i: F.struct(t.alias("term"), (F.element_at("starts", i + 1) - F.element_at("starts", i)).cast("bigint").alias("n")))
+    rows = index.filter(F.size("terms") > 0).select(F.inline(n)).groupBy("term").agg(F.sum("n").alias("n"))
+    return {r[0]: r[1] for r in rows.toLocalIterator()}
 
 
 def seeds(rows: list[tuple[int, list[bytes]]], vocabulary: dict[bytes, int], df: dict[int, int], n: int) -> list[tuple[int, int, int, int, int]]:
@@ -93,44 +113,92 @@ def seeds(rows: list[tuple[int, list[bytes]]], vocabulary: dict[bytes, int], df:
     return sorted(out)
 
 
-def _frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+RESULT = "item_id bigint, doc_id bigint, kind string, words int, doc_start int"
+
+
+def _longest(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Length and end of the longest run of True in each row."""
+    run, best, end = np.zeros(len(hit), np.int64), np.zeros(len(hit), np.int64), np.zeros(len(hit), np.int64)
+    for p in range(hit.shape[1]):
+        run = (run + 1) * hit[:, p]
+        up = run > best
+        best[up], end[up] = run[up], p + 1
+    return best, end
+
+
+def _search(block: dict, pairs: dict, places: dict[int, np.ndarray], n: int, near: int) -> list[tuple]:
+    terms, starts = np.asarray(block["terms"]), np.asarray(block["starts"])
+    if not len(terms):
+        return []
+    key = (np.asarray(block["doc"], dtype=np.int64) << 32) + np.asarray(block["pos"], dtype=np.int64)
+    lists = {int(t): key[starts[i] : starts[i + 1]] for i, t in enumerate(terms)}
+    lines: dict[int, list[np.ndarray]] = defaultdict(list)
+    for (t1, t2, gap), users in pairs.items():
+        a, b = lists.get(t1), lists.get(t2)
+        if a is None or b is None:
+            continue
+        k = np.searchsorted(b, a + gap)
+        k[k == len(b)] = 0
+        met = a[b[k] == a + gap]
+        if len(met):
+            for item, p1 in users:
+                lines[item].append(met - p1)  # where the item's first word would be
+    order = np.argsort(key, kind="stable")
+    at, term_at = key[order], np.repeat(terms, np.diff(starts))[order]
+    docs, out = block["docs"], []
+    for item, found in lines.items():
+        want = places[item]
+        start = np.unique(np.concatenate(found))
+        step = max(1, 400_000 // max(1, len(want)))
+        for lo in range(0, len(start), step):
+            s = start[lo : lo + step]
+            look = s[:, None] + np.arange(len(want))
+            k = np.minimum(np.searchsorted(at, look), len(at) - 1)
+            hit = (at[k] == look) & (term_at[k] == want)
+            best, end = _longest(hit)
+            c = np.cumsum(np.pad(hit.astype(np.int32), ((0, 0), (1, 0))), axis=1)
+            width = min(n, hit.shape[1])
+            window = c[:, width:] - c[:, :-width]
+            most, where = window.max(axis=1), window.argmax(axis=1)
+            for r in np.flatnonzero((best >= n) | (most >= near)):
+                # the document and position of the item's first word; the sum undoes a place before the text's start
+                first = int(s[r]) + int(end[r] - best[r] if best[r] >= n else where[r])
+                exact = best[r] >= n
+                out.append((item, int(docs[first >> 32]), "phrase" if exact else "proximity", int(best[r] if exact else most[r]), first & 0xFFFFFFFF))
+    return out
 
 
 def matches(docs: DataFrame, items: DataFrame, n: int = MIN_WORDS, near: int = NEAR_WORDS) -> DataFrame:
-    """(item_id, doc_id, kind, words, doc_start): the longest run of words in place per item and document.
+    """(item_id, doc_id, kind, words, doc_start): the best match per item and document.
 
     kind 'phrase': at least n consecutive words; words is the length of the run. kind 'proximity': no such run, but
     at least ``near`` words of a window of n are in place, the two rarest among them; words is their number. An item
-    or text of fewer than n words matches nothing; repeated documents match each; null texts match nothing. Extra
-    columns are ignored.
+    or text of fewer than n words matches nothing; a repeated doc_id gives one row per item; null texts and ids match
+    nothing. Extra columns are ignored.
     """
-    spark = docs.sparkSession
+    spark: SparkSession = docs.sparkSession
     rows, vocabulary = eval_words(items)
-    empty = "item_id bigint, doc_id bigint, kind string, words int, doc_start int"
     if not vocabulary:
-        return _frame(spark, [], empty)
+        return spark.createDataFrame([], RESULT)
     index = build_index(docs, vocabulary)
-    # One row per word of the evaluation texts.
-    df = {r[0]: r[1] for r in index.groupBy("term").agg(F.count("*")).toLocalIterator()}
-    found = seeds(rows, vocabulary, df, n)
-    if not found:
-        return _frame(spark, [], empty)
-    seed = _frame(spark, found, "item_id bigint, term int, p1 int, term2 int, p2 int")
-    places = _frame(spark, [(i, k, vocabulary[w]) for i, ws in rows for k, w in enumerate(ws)], "item_id bigint, p int, term int")
-    first = index.join(guarded_broadcast(seed, 200_000), "term").select("item_id", "doc_id", "term2", "p1", "p2", F.explode("positions").alias("x"))
-    second = index.select("doc_id", F.col("term").alias("term2"), F.col("positions").alias("y"))
-    both = first.join(second, ["doc_id", "term2"]).filter(F.array_contains("y", F.col("x") - F.col("p1") + F.col("p2")))
-    lines = materialise(both.select("item_id", "doc_id", (F.col("x") - F.col("p1")).alias("shift")).distinct(), "alignments")
-    hits = lines.join(guarded_broadcast(places, 200_000), "item_id").join(index, ["doc_id", "term"]).filter(F.array_contains("positions", F.col("p") + F.col("shift")))
-    line = ["item_id", "doc_id", "shift"]
-    w = Window.partitionBy(*line).orderBy("p")
-    around = w.rangeBetween(-(n - 1), 0)
-    runs = hits.select(*line, "p", (F.col("p") - F.row_number().over(w)).alias("island"), F.count("*").over(around).cast("int").alias("near"))
-    runs = runs.groupBy(*line, "island").agg(F.count("*").cast("int").alias("run"), F.max("near").alias("near"), F.min("p").alias("p"))
-    kind = F.when(F.col("run") >= n, F.lit("phrase")).when(F.col("near") >= near, F.lit("proximity"))
-    scored = runs.select("item_id", "doc_id", kind.alias("kind"), F.when(F.col("run") >= n, F.col("run")).otherwise(F.col("near")).alias("words"), (F.col("p") + F.col("shift")).alias("doc_start"))
-    best = scored.filter("kind is not null").groupBy("item_id", "doc_id").agg(F.max(F.struct((F.col("kind") == "phrase").alias("exact"), "words", (-F.col("doc_start")).alias("s"))).alias("b"))
+    pairs: dict[tuple[int, int, int], list[tuple[int, int]]] = defaultdict(list)
+    names = [i for i, _ in rows]  # a repeated item_id may stand for several texts
+    for item, t1, p1, t2, p2 in seeds([(k, ws) for k, (_, ws) in enumerate(rows)], vocabulary, frequencies(index), n):
+        pairs[t1, t2, p2 - p1].append((item, p1))
+    places = {k: np.array([vocabulary[w] for w in ws], dtype=np.int32) for k, (_, ws) in enumerate(rows) if len(ws) >= n}
+    shared = spark.sparkContext.broadcast((dict(pairs), places))  # of the size of the evaluation set
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        p, w = shared.value
+        for batch in batches:
+            for r in range(batch.num_rows):
+                block = {c: batch.column(i)[r].values.to_numpy(zero_copy_only=False) for i, c in enumerate(batch.schema.names)}
+                found = [(names[k], *rest) for k, *rest in _search(block, p, w, n, near)]
+                if found:
+                    yield pa.RecordBatch.from_pandas(pd.DataFrame(found, columns=["item_id", "doc_id", "kind", "words", "doc_start"]).astype({"words": "int32", "doc_start": "int32"}), preserve_index=False)
+
+    found = index.mapInArrow(run, RESULT)
+    best = found.groupBy("item_id", "doc_id").agg(F.max(F.struct((F.col("kind") == "phrase").alias("exact"), "words", (-F.col("doc_start")).alias("s"))).alias("b"))
     return best.select("item_id", "doc_id", F.when(F.col("b.exact"), "phrase").otherwise("proximity").alias("kind"), "b.words", (-F.col("b.s")).alias("doc_start"))
 
 
