@@ -47,8 +47,8 @@ LOOSE = rf"[-]|{WS}"
 
 def blank(v: Column) -> Column:
     """Null, empty or a placeholder; a first word of only X counts as one."""
-    t = F.upper(trimmed(v))
-    return v.isNull() | (t == "") | t.isin(*PLACEHOLDERS) | F.split(t, rf"{WS}+")[0].rlike(PLACEHOLDER_TOKEN)
+    words = "|".join(w.replace(".", r"\.") for w in PLACEHOLDERS)
+    return v.isNull() | F.upper(trimmed(v)).rlike(rf"(?s)^(|{words}|{PLACEHOLDER_TOKEN[1:-1]}({WS}.*)?)$")
 
 
 def stated(v: Column) -> Column:

@@ -62,6 +62,7 @@ class Node:
     leaves: dict[str, str] = field(default_factory=dict)
     repeated: dict[str, "Node"] = field(default_factory=dict)
     wide: list[str] = field(default_factory=list)
+    mixed: list[str] = field(default_factory=list)  # stored in more than one form
 
 
 def _read_type(s: str, i: int = 0) -> tuple[object, int]:
@@ -88,32 +89,54 @@ def _read_type(s: str, i: int = 0) -> tuple[object, int]:
     return m.group(), m.end()
 
 
-def _walk(node: Node, kind: object, prefix: str, max_fields: int) -> None:
-    if isinstance(kind, dict):
+def _walk(node: Node, kind: object, prefix: str, max_fields: int, only: set[str] | None = None) -> None:
+    if prefix and only and prefix.split(".")[-1] in only:  # asked for: repeated in whatever form it is stored
+        node.repeated[prefix] = Node(prefix)
+    elif isinstance(kind, dict):
         if len(kind) > max_fields:
             node.wide.append(prefix or "$")
             return
         for name, sub in kind.items():
             if re.fullmatch(r"\w+", name):
-                _walk(node, sub, f"{prefix}.{name}" if prefix else name, max_fields)
+                _walk(node, sub, f"{prefix}.{name}" if prefix else name, max_fields, only)
     elif prefix and (isinstance(kind, list) or kind == "VARIANT"):
         node.repeated[prefix] = Node(prefix)
+        if kind == "VARIANT":
+            node.mixed.append(prefix)
     elif prefix:
         node.leaves[prefix] = str(kind)
 
 
-def infer(levels: DataFrame, path_col: str, value_col: str, max_fields: int) -> dict[str, Node]:
+def infer(levels: DataFrame, path_col: str, value_col: str, max_fields: int, only: set[str] | None = None) -> dict[str, Node]:
     """Merged schema of every level named in ``path_col`` over all its rows; one aggregate, one row a level."""
     rows = levels.groupBy(path_col).agg(F.expr(f"schema_of_variant_agg({value_col})").alias("s"))
     out = {}
     for r in rows.toLocalIterator():  # one row per level of the schema, not per record
         node = Node(r[0])
         if r["s"] and r["s"] != "VOID":
-            _walk(node, _read_type(r["s"])[0], "", max_fields)
+            _walk(node, _read_type(r["s"])[0], "", max_fields, only)
         out[r[0]] = node
     return out
 
 
+def resolve_mixed(level: DataFrame, schema: dict[str, Node], max_fields: int, only: set[str] | None = None) -> None:
+    """Fields stored in several forms that are objects or text of objects, never arrays, are objects: add their fields."""
+    pairs = [(name, p) for name, node in schema.items() for p in node.mixed]
+    if not pairs:
+        return
+    v = F.col("v")
+    forms = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(p).alias("path"), F.when(F.col("level") == name, F.try_variant_get(v, "$." + p, "variant")).alias("x")) for name, p in pairs])
+    one = level.filter(is_object(v)).select(F.inline(F.filter(forms, lambda f: f["x"].isNotNull())))
+    inner = F.try_parse_json(F.try_variant_get("x", "$", "string"))  # of an object's own text: the object
+    kinds = one.select("name", "path", F.schema_of_variant("x").startswith("ARRAY").alias("listed"), inner.alias("o"))
+    rows = kinds.groupBy("name", "path").agg(F.max(F.col("listed") | F.coalesce(F.schema_of_variant("o").startswith("ARRAY"), F.lit(False))).alias("listed"), F.expr("schema_of_variant_agg(o) filter (where schema_of_variant(o) like 'OBJECT%')").alias("s"))
+    for r in rows.toLocalIterator():  # one row per field of the schema
+        kind = _read_type(r["s"])[0] if r["s"] and r["s"] != "VOID" else None
+        if isinstance(kind, dict) and not r["listed"]:
+            del schema[r["name"]].repeated[r["path"]]
+            _walk(schema[r["name"]], kind, r["path"], max_fields, only)
+
+
 # --- exploding -----------------------------------------------------------------------------------
 
 
@@ -204,7 +227,10 @@ def shred(
     schema: dict[str, Node] = {}
     out = None
     for _ in range(max_depth):
-        here = infer(level.filter(is_object(F.col("v"))), "level", "v", max_fields)
+        here = infer(level.filter(is_object(F.col("v"))), "level", "v", max_fields, only)
+        seen = {p.split(".")[-1] for node in here.values() for p in node.repeated}
+        if only is None or not only <= seen:
+            resolve_mixed(level, here, max_fields, only)
         schema |= here
         follow = {
             name: [p for p in node.repeated if only is None or p.split(".")[-1] in only] for name, node in here.items()

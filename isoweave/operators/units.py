@@ -138,3 +138,11 @@ def differ(quantity: Column, a: Column, b: Column) -> Column:
     """Not the same quantity: over 1 % of the larger apart, for temperatures over 1 °C."""
     gap = F.abs(a - b)
     return F.when(quantity == "temperature", gap > 1.0 + 1e-6).otherwise(gap > 0.01 * F.greatest(F.abs(a), F.abs(b)) + 1e-9)
+
+
+def convert(values: DataFrame, units: DataFrame, quantity: str, text: str) -> DataFrame:
+    """Adds ``common``: the value of a text in the common unit of its quantity; null if not given or of no known unit."""
+    u = units.select(F.col("quantity").alias("_q"), F.col("unit").alias("_u"), F.col("scale").alias("_s"), F.col("offset").alias("_o"))
+    v = values.withColumn("_n", F.when(~Q.not_given(F.col(text)), Q.number(F.col(text)))).withColumn("_k", Q.unit_beside(F.col(text)))
+    j = v.join(guarded_broadcast(u), (v[quantity] == F.col("_q")) & (F.col("_k") == F.col("_u")), "left")
+    return j.withColumn("common", F.col("_n") * F.col("_s") + F.col("_o")).drop("_n", "_k", "_q", "_u", "_s", "_o")

@@ -63,6 +63,18 @@ def p2_common(spark: SparkSession, d: str) -> DataFrame:
     return h.rows.select(F.col("id").alias("basis_id"), "quantity", F.round("iso_common", 4).alias("iso_common"), F.round("pll_common", 4).alias("pll_common"))
 
 
+LINE_FIELDS = ["design_pressure", "operating_pressure", "hydrotest_pressure", "test_pressure", "design_temperature", "operating_temperature", "insul_thickness_mm", "insulation_thickness", "corrosion_allowance"]
+
+
+def p2_line_values(spark: SparkSession, d: str) -> DataFrame:
+    """Quantities in the line tags in the common units, read with what the design basis taught about spellings."""
+    known = units.harmonise(table(spark, d, "design_basis")).units
+    bags = table(spark, d, "extracted_tags").filter("tag_type = 'line'").select("id", F.from_json("attributes", ", ".join(f"{f} string" for f in LINE_FIELDS)).alias("a"))
+    kind = lambda f: "pressure" if "pressure" in f else "temperature" if "temperature" in f else "length"
+    rows = bags.select(F.col("id").alias("tag_id"), F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(kind(f)).alias("quantity"), F.col(f"a.{f}").alias("text")) for f in LINE_FIELDS])))
+    return units.convert(rows.filter("text is not null"), known, "quantity", "text").select("tag_id", "field", "quantity", F.round("common", 4).alias("common"))
+
+
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     tags = table(spark, d, "extracted_tags")
     refs = references.citations(tags, table(spark, d, "extraction_results"), table(spark, d, "document_pages"))
@@ -77,7 +89,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return references.report(_orphans(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_welds, p1_bom_items, p2_found, p2_units, p2_common, p7_found, p7_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_welds, p1_bom_items, p2_found, p2_units, p2_common, p2_line_values, p7_found, p7_report)}
 
 _KEY = "regexp_replace(regexp_extract({v}, '([0-9]+)[^0-9]*$', 1), '^0+([0-9])', '\\1')"
 _GIVEN = "{v} IS NOT NULL AND upper(regexp_replace({v}, '^[\\s\\x{{00a0}}]+|[\\s\\x{{00a0}}]+$', '', 'g')) NOT IN ('', '-', 'N/A', 'NA', 'XX', 'NIL', 'NIL.')"

@@ -1,7 +1,7 @@
 """All queries outside the llm subpackage."""
 
-from . import core_problems, scalar_queries
+from . import core_problems, relational_queries, scalar_queries, service_queries
 
-_MODULES = (core_problems, scalar_queries)
+_MODULES = (core_problems, scalar_queries, relational_queries, service_queries)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}

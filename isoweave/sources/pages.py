@@ -38,10 +38,15 @@ def column_of(headers: Column, part: str) -> Column:
     return F.when(p > 0, (p - 1).cast("int"))
 
 
-def sheet_rows(pages: DataFrame) -> DataFrame:
-    """Items of item-list and catalogue pages in one schema, with the other cells as ``extra`` (key, value) in order."""
+def sheet_rows(pages: DataFrame, marks: tuple[str, ...] = ("gtype", "catalogue")) -> DataFrame:
+    """Items of item-list and catalogue pages in one schema, with the other cells as ``extra`` (key, value) in order.
+
+    marks: header words that all must be there for an item list.
+    """
     g = grid(pages)
-    listed = column_of(F.col("headers"), "gtype").isNotNull() & column_of(F.col("headers"), "catalogue").isNotNull()
+    listed = F.lit(True)
+    for m in marks:
+        listed = listed & column_of(F.col("headers"), m).isNotNull()
     catalogue = ~listed & column_of(F.col("headers"), "itemcode").isNotNull() & column_of(F.col("headers"), "material").isNotNull()
 
     def cells(words: dict[str, str]) -> dict[str, Column]:
