@@ -109,7 +109,8 @@ def _walk(node: Node, kind: object, prefix: str, max_fields: int, only: set[str]
 
 def infer(levels: DataFrame, path_col: str, value_col: str, max_fields: int, only: set[str] | None = None) -> dict[str, Node]:
     """Merged schema of every level named in ``path_col`` over all its rows; one aggregate, one row a level."""
-    rows = levels.groupBy(path_col).agg(F.expr(f"schema_of_variant_agg({value_col})").alias("s"))
+    # The condition stands inside the aggregate: a filter below it would parse every text a second time.
+    rows = levels.groupBy(path_col).agg(F.expr(f"schema_of_variant_agg({value_col}) filter (where schema_of_variant({value_col}) like 'OBJECT%')").alias("s"))
     out = {}
     for r in rows.toLocalIterator():  # one row per level of the schema, not per record
         node = Node(r[0])
@@ -217,7 +218,7 @@ def shred(
     an empty result; repeated rows are kept, each with its own elements; other columns are ignored, whatever
     their names.
     """
-    src = df.select(*[F.col(k).alias(k) for k in keys], parse(F.col(json_col)).alias("v")).filter(F.col("v").isNotNull())
+    src = df.select(*[F.col(k).alias(k) for k in keys], parse(F.col(json_col)).alias("v"))
     base = src.select(*keys, F.array().cast("array<int>").alias("ords"), F.lit("$").alias("level"), "v")
     if root != "$":
         level = base.select(*keys, F.posexplode(elements(at(F.col("v"), root))).alias("pos", "v"))
@@ -227,7 +228,7 @@ def shred(
     schema: dict[str, Node] = {}
     out = None
     for _ in range(max_depth):
-        here = infer(level.filter(is_object(F.col("v"))), "level", "v", max_fields, only)
+        here = infer(level, "level", "v", max_fields, only)
         seen = {p.split(".")[-1] for node in here.values() for p in node.repeated}
         if only is None or not only <= seen:
             resolve_mixed(level, here, max_fields, only)
@@ -235,7 +236,7 @@ def shred(
         follow = {
             name: [p for p in node.repeated if only is None or p.split(".")[-1] in only] for name, node in here.items()
         }
-        out = level if out is None else out.unionByName(level)
+        out = level.filter(F.col("v").isNotNull()) if out is None else out.unionByName(level)
         follow = {k: v for k, v in follow.items() if v}
         if not follow:
             break
