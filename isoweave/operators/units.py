@@ -115,7 +115,7 @@ def harmonise(df: DataFrame, field: str = "field", iso: str = "iso_value", pll:
     pairs = src.filter(F.col("iso_number").isNotNull() & F.col("pll_number").isNotNull()).select(
         "quantity", F.col("iso_unit").alias("ua"), F.col("pll_unit").alias("ub"), F.col("iso_number").alias("a"), F.col("pll_number").alias("b"), F.xxhash64(key).alias("salt")
     )
-    learned = propagate(estimate_edges(pairs))
+    learned = propagate(estimate_edges(materialise(pairs, "unit-pairs")))
     named = known_units(df.sparkSession)
     units = learned.withColumn("basis", F.when(F.col("unit") == "", "definition").otherwise("estimated")).drop("hop").join(
         named.select("quantity", "unit", F.col("scale").alias("ns"), F.col("offset").alias("no")), ["quantity", "unit"], "full_outer"
