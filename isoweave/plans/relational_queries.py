@@ -13,7 +13,7 @@ from ..functions import compare as C
 from ..functions import sizes as S
 from ..functions import text as T
 from ..operators import relational as R
-from ..operators import shred
+from ..operators import shred, spools
 from ..runtime import table
 from ..sources import pages as P
 from . import scalar_queries as X
@@ -386,3 +386,75 @@ def graph_components(spark, d):
     c, s = table(spark, d, "customer"), table(spark, d, "supplier")
     e = c.join(s, c["c_nationkey"] == s["s_nationkey"]).filter((F.col("c_custkey") + F.col("s_suppkey")) % 3 == 0).select(F.col("c_custkey").alias("a"), (F.col("s_suppkey") + 1_000_000).alias("b"))
     return R.components(e)
+
+
+_CITED = f"""n AS (SELECT id AS note_id, document_id, coalesce(source_page, 0) AS page, location_note AS note FROM {bag('b', ['location_note'], "tag_type = 'weld'")}),
+c AS (SELECT note_id, document_id, page, unnest(regexp_extract_all(note, {q(spools.CITATION)})) AS raw, unnest(range(len(regexp_extract_all(note, {q(spools.CITATION)})))) AS n FROM n WHERE note IS NOT NULL),
+b AS (SELECT document_id, coalesce(source_page, 0) AS page, {trim('tag_number')} AS item_no, min(id) AS bom_id, count(*) AS hits FROM extracted_tags WHERE tag_type = 'bom_item' GROUP BY ALL)"""
+
+
+@query(f"""WITH {_CITED} SELECT c.note_id, CAST(c.n AS INTEGER) AS n, c.raw, regexp_extract(c.raw, '0*(\\d+)$', 1) AS item_no, b.bom_id, coalesce(b.hits > 1, false) AS ambiguous
+FROM c LEFT JOIN b ON b.document_id = c.document_id AND b.page = c.page AND b.item_no = regexp_extract(c.raw, '0*(\\d+)$', 1)""")
+def join_citations(spark, d):
+    """Items that weld notes cite, with their bill rows on the sheet."""
+    return _cited(spark, d).select("note_id", "n", "raw", "item_no", "bom_id", "ambiguous")
+
+
+def _cited(spark, d):
+    page = F.coalesce("source_page", F.lit(0)).alias("page")
+    notes = tags(spark, d, "weld", fields=["location_note"]).select("document_id", page, F.col("id").alias("note_id"), F.col("location_note").alias("note")).filter("note is not null")
+    bom = tags(spark, d, "bom_item", fields=["component_type"]).select("document_id", page, T.trimmed(F.col("tag_number")).alias("item_no"), F.col("id").alias("bom_id"), "component_type")
+    return spools.cited_items(notes, bom, ["document_id", "page"])
+
+
+@query(f"""SELECT id, array_to_string(list_filter([CASE WHEN regexp_matches(boundary_note, {q(spools.BRANCH)}) AND regexp_matches(boundary_note, {q(spools.BOUND)}) THEN 'branch boundary' END, CASE WHEN regexp_matches(boundary_note, {q(spools.PASS_THROUGH)}) THEN 'through valve' END], lambda x: x IS NOT NULL), '; ') AS flags
+FROM {bag('b', ['boundary_note'], "tag_type = 'spool'")} WHERE boundary_note IS NOT NULL""")
+def check_boundary_notes(spark, d):
+    t = tags(spark, d, "spool", fields=["boundary_note"]).filter("boundary_note is not null")
+    return t.select("id", F.array_join(spools.boundary_flags(F.col("boundary_note")), "; ").alias("flags"))
+
+
+@query(f"""WITH b AS (SELECT id, list_transform(CAST(CAST(attributes AS JSON) -> '$.bounding_box_mm' AS JSON[]), lambda x: TRY_CAST(x ->> '$' AS DOUBLE)) AS x FROM extracted_tags WHERE tag_type = 'spool' AND json_type(CAST(attributes AS JSON) -> '$.bounding_box_mm') = 'ARRAY'),
+p AS (SELECT * FROM (VALUES (0, 1, 2, 3, 'xyz'), (1, 1, 3, 2, 'xzy'), (2, 2, 1, 3, 'yxz'), (3, 2, 3, 1, 'yzx'), (4, 3, 1, 2, 'zxy'), (5, 3, 2, 1, 'zyx')) t(n, i, j, k, axes)),
+o AS (SELECT id, p.n, axes, least(12032 - x[p.i], 2390 - x[p.j], 2350 - x[p.k]) AS clearance FROM b CROSS JOIN p WHERE len(x) = 3 AND x[1] IS NOT NULL AND x[2] IS NOT NULL AND x[3] IS NOT NULL)
+SELECT id, arg_max(axes, (clearance, -n)) AS axes, max(clearance) AS clearance FROM o WHERE clearance >= 0 GROUP BY id""")
+def check_orientation(spark, d):
+    """Best orientation of every spool's box in the long container."""
+    t = table(spark, d, "extracted_tags").filter("tag_type = 'spool'").select("id", F.try_variant_get(shred.parse(F.col("attributes")), "$.bounding_box_mm", "array<double>").alias("b"))
+    o = t.filter((F.size("b") == 3) & ~F.exists("b", lambda x: x.isNull())).select("id", spools.orientation(F.col("b"), CONTAINERS[1][1]).alias("o"))
+    return o.filter("o is not null").select("id", "o.axes", "o.clearance")
+
+
+_NUMERIC = [("2.design_pressure", "design_pressure"), ("2.design_temperature", "design_temperature"), ("2.operating_pressure", "operating_pressure")]
+_CHAIN_ISO = f"""i AS (SELECT document_id, project_id, {key('tag_number')} AS k, {', '.join(f'{_FIRST(f)} AS {f}' for f in ('size', 'spec_class'))} FROM {bag('b', ['size', 'spec_class'], "tag_type = 'line' AND doc_type = 'iso'")} GROUP BY ALL),
+l AS (SELECT project_id, {key('tag_number')} AS k, count(*) AS n, arg_min(spec_class, id) AS spec_class FROM {bag('b', ['spec_class'], "tag_type = 'line' AND doc_type = 'pll'")} GROUP BY ALL),
+sc AS (SELECT DISTINCT {X.bom_class('tag_number')} AS c FROM extracted_tags WHERE tag_type = 'spec_class'),
+j AS (SELECT i.*, l.n, l.spec_class AS listed FROM i LEFT JOIN l ON l.project_id = i.project_id AND l.k = i.k),
+g1 AS (SELECT document_id, k, '1.line_exists' AS field_checked, 'error' AS severity FROM j WHERE n IS NULL),
+g2 AS (SELECT document_id, k, '2.piping_class' AS field_checked, 'error' AS severity FROM j WHERE n IS NOT NULL AND NOT {blank('spec_class')} AND NOT {blank('listed')} AND {X.bom_class('spec_class')} <> {X.bom_class('listed')} AND document_id NOT IN (SELECT document_id FROM g1))"""
+
+
+@query(f"""WITH {_CHAIN_ISO}
+SELECT document_id, k, '0.' || f AS field_checked, 'warning' AS severity FROM (SELECT document_id, k, 'size' AS f FROM j WHERE {blank('size')} UNION ALL SELECT document_id, k, 'spec_class' FROM j WHERE {blank('spec_class')})
+UNION ALL SELECT * FROM g1 UNION ALL SELECT document_id, k, '1.duplicates', 'warning' FROM j WHERE n > 1 UNION ALL SELECT * FROM g2
+UNION ALL SELECT document_id, k, '4.spec_class', 'error' FROM j WHERE NOT {blank('spec_class')} AND {X.bom_class('spec_class')} NOT IN (SELECT c FROM sc WHERE c IS NOT NULL) AND document_id NOT IN (SELECT document_id FROM g1) AND document_id NOT IN (SELECT document_id FROM g2)""")
+def check_findings(spark, d):
+    """Staged findings of every ISO: a line missing from the list stops the later stages of its whole document, a class mismatch all after it."""
+    iso = tags(spark, d, "line", "iso", ["size", "spec_class"]).withColumn("k", T.tag_key(F.col("tag_number"))).withColumn("page", F.coalesce("source_page", F.lit(0)))
+    lines = R.merge_lines(iso, ["document_id", "project_id", "k"], ["size", "spec_class"], ["page", "id"])
+    pll = tags(spark, d, "line", "pll", ["spec_class"]).withColumn("k", T.tag_key(F.col("tag_number")))
+    listed = pll.groupBy("project_id", "k").agg(F.count("*").alias("n"), F.min(F.struct("id", "spec_class"))["spec_class"].alias("listed"))
+    known = tags(spark, d, "spec_class").select(T.bom_class(F.col("tag_number")).alias("cls"), F.lit(True).alias("known")).filter("cls is not null").distinct()
+    j = lines.join(listed, ["project_id", "k"], "left").withColumn("cls", T.bom_class(F.col("spec_class"))).join(known, "cls", "left")
+    stated = ~T.blank(F.col("spec_class"))
+    missing = F.col("n").isNull()
+    clash = ~missing & stated & ~T.blank(F.col("listed")) & (F.col("cls") != T.bom_class(F.col("listed")))
+    # The stop of a document is an aggregate over its lines: one small row per document comes back to them.
+    stops = j.groupBy("document_id").agg(F.max(missing).alias("stop1"), F.max(F.coalesce(clash, F.lit(False))).alias("stop2"))
+    s = j.join(stops, "document_id")
+    row = lambda code, severity, when: F.when(when, F.struct(F.lit(code).alias("field_checked"), F.lit(severity).alias("severity")))
+    found = F.array_compact(F.array(
+        row("0.size", "warning", T.blank(F.col("size"))), row("0.spec_class", "warning", ~stated), row("1.line_exists", "error", missing), row("1.duplicates", "warning", F.col("n") > 1),
+        row("2.piping_class", "error", clash & ~F.col("stop1")), row("4.spec_class", "error", stated & F.col("known").isNull() & ~F.col("stop1") & ~F.col("stop2")),
+    ))
+    return s.select("document_id", "k", F.inline(found))
