@@ -44,21 +44,32 @@ def attribute(path: str) -> Column:
 
 def compile_expression(text: str) -> Column:
     """A condition over attributes: names, numbers, quoted texts, comparisons, arithmetic and logic; no functions."""
-    out, at = [], 0
+    found, at = [], 0
     text = text.rstrip()
     while at < len(text):
         m = _TOKENS.match(text, at)
         if not m:
             raise ValueError(f"not allowed at {text[at : at + 10]!r}")
-        name = m["name"]
-        if name and name.lower() not in _WORDS:
-            if re.match(r"\s*\(", text[m.end() :]):
-                raise ValueError(f"no function may be called: {name}")
-            out.append(f"get_json_object(attributes, '$.{name}')")
-        else:
-            out.append(m[0].strip())
+        if m["name"] and m["name"].lower() not in _WORDS and re.match(r"\s*\(", text[m.end() :]):
+            raise ValueError(f"no function may be called: {m['name']}")
+        found.append((m.lastgroup, m[0].strip()))
         at = m.end()
-    return F.expr(" ".join(out))
+    kind = lambda i: found[i][0] if 0 <= i < len(found) else ""
+    word = lambda i: found[i][1].lower() if 0 <= i < len(found) else ""
+    compares = {"<", ">", "<=", ">=", "=", "<>", "!=", "between"}
+    out = []
+    for i, (k, t) in enumerate(found):
+        if k != "name" or t.lower() in _WORDS:
+            out.append(t)
+            continue
+        # An attribute is a number beside arithmetic or compared with a number, else a text.
+        numeric = word(i + 1) in {"+", "-", "*", "/"} or word(i - 1) in {"+", "-", "*", "/"} or (word(i + 1) in compares and kind(i + 2) == "number") or (word(i - 1) in compares and kind(i - 2) == "number")
+        value = f"get_json_object(attributes, '$.{t}')"
+        out.append(f"try_cast({value} as double)" if numeric else value)
+    try:
+        return F.expr(" ".join(out))
+    except Exception as e:
+        raise ValueError(f"no condition: {text!r}") from e
 
 
 def _prepare(v: Column, how: str) -> Column:

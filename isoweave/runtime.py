@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -47,6 +49,30 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+_tidied: set[str] = set()
+
+
+def _tidy(spark: SparkSession) -> None:
+    """Remove this application's written tables when the driver's Python ends."""
+    home = f"{shared_dir(spark)}/isoweave/{spark.sparkContext.applicationId}"
+    if home in _tidied:
+        return
+    _tidied.add(home)
+
+    def remove() -> None:
+        local = home.removeprefix("file://").removeprefix("file:")
+        if local.startswith("/"):
+            shutil.rmtree(local, ignore_errors=True)
+            return
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(home)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  the session has ended; the folder's owner clears it
+            pass
+
+    atexit.register(remove)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a compressed table in the shared folder and read it back.
 
@@ -54,6 +80,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     executors: the files belong to no executor.
     """
     spark = df.sparkSession
+    _tidy(spark)
     path = f"{shared_dir(spark)}/isoweave/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

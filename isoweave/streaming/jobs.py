@@ -16,8 +16,11 @@ STATES = ("queued", "running", "succeeded", "failed")
 
 
 def read_events(spark: SparkSession, folder: str, name: str = "events.parquet") -> DataFrame:
-    """File stream over one table of a folder."""
-    schema = spark.read.parquet(f"{folder}/{name}").schema
+    """File stream over one table of a folder, kept as one file or as a folder of files."""
+    now = spark.read.parquet(f"{folder}/{name}")
+    schema, files = now.schema, now.inputFiles()
+    if not files or not files[0].endswith(f"/{name}"):
+        return spark.readStream.schema(schema).parquet(f"{folder}/{name}")
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
 
