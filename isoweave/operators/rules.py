@@ -59,6 +59,8 @@ def compile_expression(text: str) -> Column:
     compares = {"<", ">", "<=", ">=", "=", "<>", "!=", "between"}
     out = []
     for i, (k, t) in enumerate(found):
+        if k == kind(i - 1) == "op" and t not in "(),+-" and word(i - 1) not in "(),":
+            raise ValueError(f"no operator may follow {found[i - 1][1]!r}: {t!r}")
         if k != "name" or t.lower() in _WORDS:
             out.append(t)
             continue
