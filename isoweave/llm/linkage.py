@@ -83,19 +83,20 @@ def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
 def chance(left: DataFrame, right: DataFrame) -> np.ndarray:
     """Probabilities of the levels of each field for two rows drawn at random, from the fields' marginal counts.
 
-    Marginals are small tables (kinds, sizes, materials); their pairs are formed by equi-joins, the rest by difference.
+    One aggregate over the distinct values of all fields gives the shares of equal values, whole or by their first
+    part; only a row per field reaches the driver.
     """
-    u = np.zeros((len(FIELDS), 4))
     first = {"kind": " ", "size": "x"}
-    for i, c in enumerate(["kind", "size", "mat", "typed"]):
-        share = []
-        for key in [F.col(c)] + ([F.split(c, first[c])[0]] if c in first else []):
-            l, r = (x.filter(F.col(c) != "").groupBy(key.alias("v")).agg(F.sum("n").cast("double").alias(n)) for x, n in ((left, "a"), (right, "b")))
-            total = l.agg(F.sum("a")).first()[0], r.agg(F.sum("b")).first()[0]
-            same = l.join(r, "v").agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0.0
-            share.append(same / (total[0] * total[1]) if total[0] and total[1] else 0.0)
-        u[i, 2] = share[0]
-        u[i, 1] = max(0.0, share[1] - share[0]) if len(share) > 1 else 0.0
+    marks = [(c, F.col(c)) for c in FEATURES[1:]] + [(f"{c} first", F.split(c, s)[0]) for c, s in first.items()]
+    each = F.inline(F.array(*[F.struct(F.lit(n).alias("f"), F.when(F.col(n.split(" ")[0]) != "", v).alias("v")) for n, v in marks]))
+    zero = F.lit(0).cast("bigint")
+    sides = left.select(F.col("n").alias("a"), zero.alias("b"), each).unionByName(right.select(zero.alias("a"), F.col("n").alias("b"), each))
+    values = sides.filter("v is not null").groupBy("f", "v").agg(F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b"))
+    share = {r["f"]: r["p"] or 0.0 for r in values.groupBy("f").agg(F.try_divide(F.sum(F.col("a") * F.col("b")), F.sum("a") * F.sum("b")).alias("p")).collect()}
+    u = np.zeros((len(FIELDS), 4))
+    for i, c in enumerate(FEATURES[1:]):
+        u[i, 2] = share.get(c, 0.0)
+        u[i, 1] = max(0.0, share.get(f"{c} first", u[i, 2]) - u[i, 2])
         u[i, 0] = max(0.0, 1 - u[i, 1] - u[i, 2])
     return np.maximum(u, 1e-4)
 
