@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: Rated documents that the fit uses at most, and the share of them kept for calibration; a documented bound.
 MAX_RATED, CALIBRATION = 1500, 0.3
 #: Documents of one step; word buckets; steps, rate and penalty of the fit.
-STEP, WORD_BITS, ROUNDS, RATE, PENALTY = 500, 18, 70, 0.08, 2e-4
+STEP, WORD_BITS, ROUNDS, RATE, PENALTY = 500, 18, 40, 0.12, 2e-4
 #: English prose: least share of English function words, their lead over other languages, most tokens with digits.
 ENGLISH, LEAD, CODES = 0.16, 1.5, 0.3
 LEVELS = 4
