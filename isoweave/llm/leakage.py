@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -76,7 +77,7 @@ def _indexer(vocabulary: dict[bytes, int]) -> Callable[[Iterator[pa.RecordBatch]
 
 
 def eval_words(items: DataFrame) -> tuple[list[tuple[int, list[bytes]]], dict[bytes, int]]:
-    """Words of every evaluation text and the vocabulary. The evaluation set is held out and small: it is read by the driver."""
+    """Words of every evaluation text and the vocabulary. The driver reads one pass of them, PASS_ITEMS on average."""
     rows = [(int(r[0]), words(r[1] or "")) for r in items.select("item_id", "text").toLocalIterator()]
     vocabulary: dict[bytes, int] = {}
     for _, ws in rows:
@@ -113,6 +114,8 @@ def seeds(rows: list[tuple[int, list[bytes]]], vocabulary: dict[bytes, int], df:
     return sorted(out)
 
 
+#: Evaluation texts of one pass; larger sets take several passes over the corpus.
+PASS_ITEMS = 20_000
 RESULT = "item_id bigint, doc_id bigint, kind string, words int, doc_start int"
 
 
@@ -177,6 +180,10 @@ def matches(docs: DataFrame, items: DataFrame, n: int = MIN_WORDS, near: int = N
     nothing. Extra columns are ignored.
     """
     spark: SparkSession = docs.sparkSession
+    passes = -(-items.count() // PASS_ITEMS)
+    if passes > 1:
+        part = F.pmod(F.xxhash64("item_id"), F.lit(passes))
+        return reduce(DataFrame.unionByName, [matches(docs, items.filter(part == k), n, near) for k in range(passes)])
     rows, vocabulary = eval_words(items)
     if not vocabulary:
         return spark.createDataFrame([], RESULT)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import shred
+from ..sources.pages import located_sheets
 
 #: Characters of a segment, parts of a bucket in the running sums, share of a piece within which a target may move.
 SEGMENT_CHARS, BUCKET_PARTS, REACH = 2_000_000, 4096, 0.2
@@ -158,14 +158,6 @@ def page_pieces(pages: DataFrame, limit: Limit) -> DataFrame:
     return big.mapInPandas(_page_pieces(limit), PIECES)
 
 
-def located_sheets(results: DataFrame) -> DataFrame:
-    """(owner_id, sheet_pos, document_id, first, last) of ``locate.sheets``; ranges that are no numbers are left out."""
-    v = results.select(F.col("id").cast("string").alias("owner_id"), "document_id", shred.parse(F.col("raw_json")).alias("v"))
-    s = v.select("owner_id", "document_id", F.posexplode(shred.elements(shred.at(F.col("v"), "locate.sheets"))).alias("sheet_pos", "s"))
-    page = lambda k: F.try_variant_get("s", f"$.pages.{k}", "int")
-    return s.select("owner_id", "document_id", F.col("sheet_pos").cast("int").alias("sheet_pos"), page("start").alias("first"), page("end").alias("last")).filter("first <= last")
-
-
 def sheet_pieces(results: DataFrame, pages: DataFrame, limit: Limit) -> DataFrame:
     """Pieces of the joined page texts of every located sheet above the limit.
 

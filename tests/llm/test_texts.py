@@ -82,6 +82,8 @@ def test_leaks_against_brute_force(spark, monkeypatch):
     it = spark.createDataFrame([(i, "x", t) for i, t in items], "item_id bigint, topic string, text string")
     got = [tuple(r) for r in leakage.leaks(docs(spark, rows), it).collect()]
     assert want and set(got) == want and len(got) == len(set(got))
+    monkeypatch.setattr(leakage, "PASS_ITEMS", 9)
+    assert {tuple(r) for r in leakage.leaks(docs(spark, rows), it).collect()} == want
     assert leakage.leaks(docs(spark, []), it).count() == 0 and leakage.leaks(docs(spark, rows), it.limit(0)).count() == 0
 
 
