@@ -157,7 +157,7 @@ def _kind(ws: tuple[str, ...]) -> str:
     return "pipe" if "pipe" in has else ""
 
 
-_NUM = r"\d+\s*\.\s*\d+\s*/\s*\d+|\d{1,2}\s+\d+/\d+|\d{1,2}-\d+/\d+|\d+/\d+|\d+\.\d+|\d+"
+_NUM = r"\d+\s*\.\s*\d+\s*/\s*\d+|\d\s+\d+/\d+|\d-\d+/\d+|\d+/\d+|\d+\.\d+|\d+"
 _ONE = rf"(?:dn\s*\d+|(?:{_NUM})\s*(?:nb|mm|inch(?![a-wyz])|in(?![a-wyz])\.?|\"|''))"
 _BARE = rf"(?:dn\s*)?(?:{_NUM})\s*(?:nb|mm|inch(?![a-wyz])|in(?![a-wyz])\.?|\"|'')?"
 _COLUMN = re.compile(rf"^\s*({_BARE})(?:\s*[x×]\s*({_BARE}))?(?:\s*[x×]\s*({_BARE}))?\s*$")
