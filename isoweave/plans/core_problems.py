@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.quantity import KNOWN_UNITS
 from ..operators import references, shred, units
 from ..runtime import table
 
@@ -131,7 +132,43 @@ def _p1_sql() -> str:
     UNION ALL SELECT 'extracted_tags', CAST(id AS VARCHAR), 0, child, CAST(pos AS INTEGER) FROM te WHERE json_type(v) = 'OBJECT'"""
 
 
+_BLANKS = r"[\s\x{00a0}\x{2007}\x{202f}]+"
+
+
+def _tidy_sql(v: str) -> str:
+    return f"trim(regexp_replace({v}, '{_BLANKS}', ' ', 'g'))"
+
+
+def _unit_sql(u: str) -> str:
+    t = f"regexp_replace(lower({_tidy_sql(u)}), '\\(?\\b(max|min|approx|ca|note ?\\d*)\\b\\.?\\)?|\\bsee .*$', ' ', 'g')"
+    t = f"regexp_replace(replace({t}, '²', '2'), chr(39) || chr(39) || '|”|″', '\"', 'g')"
+    return f"regexp_replace(regexp_replace({t}, 'deg(\\.? ?[cfk])\\b', '\\1', 'g'), '[^a-z0-9/\"%]+', '', 'g')"
+
+
+def _p2_sql() -> str:
+    """Units by their names: what the estimates must come to."""
+    known = ", ".join(f"('{q}', '{k}', {s!r}::DOUBLE, {o!r}::DOUBLE)" for q, us in KNOWN_UNITS.items() for s, o, keys in us for k in keys)
+    bare = ", ".join(f"('{q}', '', 1.0::DOUBLE, 0.0::DOUBLE)" for q in KNOWN_UNITS)
+    group = lambda x: f"regexp_replace({x}, ',(\\d{{3}})([^\\d]|$)', '\\1\\2', 'g')"
+    parts = []
+    for side in ("iso", "pll"):
+        v, name = _tidy_sql(f"{side}_value"), side.upper()
+        number = f"regexp_extract({v}, '[-+]?\\d+(?:[.,]\\d+)*')"
+        missing = f"({side}_value IS NULL OR upper({v}) IN ('', 'NA', 'N/A', 'N.A.', 'NIL', 'NIL.', '-', '--', 'AMB', 'AMB.') OR regexp_matches(upper({v}), '^X+([.,]X+)?( .*)?$'))"
+        beside = _unit_sql(f"regexp_extract({v}, '[-+]?\\d+(?:[.,]\\d+)*(.*)$', 1)")
+        about = f"lower(regexp_extract(remarks, '(?i)\\b{side}\\s+(pressure|temperature|thickness|length)', 1))"
+        said = _unit_sql(f"regexp_extract(remarks, '(?i)(?:\\bunit on {name}\\s*:\\s*|\\b{name}\\b[^;:]*?\\b(?:in|reads|is|are)\\s+)([^;]+)', 1)")
+        note = f"coalesce(CASE WHEN {about} = '' OR replace({about}, 'thickness', 'length') = quantity THEN {said} END, '')"
+        parts.append(f"CASE WHEN NOT {missing} THEN TRY_CAST(replace({group(group(number))}, ',', '.') AS DOUBLE) END AS {side}_n, CASE WHEN {beside} <> '' THEN {beside} ELSE {note} END AS {side}_u")
+    return f"""WITH units(quantity, unit, s, o) AS (VALUES {known}, {bare}),
+    b AS (SELECT *, CASE WHEN contains(lower(field), 'pressure') THEN 'pressure' WHEN contains(lower(field), 'temperature') THEN 'temperature' WHEN regexp_matches(lower(field), 'thickness|allowance') THEN 'length' END AS quantity FROM design_basis),
+    v AS (SELECT id, quantity, {", ".join(parts)} FROM b WHERE quantity IS NOT NULL),
+    c AS (SELECT v.id, v.quantity, v.iso_n * i.s + i.o AS a, v.pll_n * p.s + p.o AS b FROM v JOIN units i ON i.quantity = v.quantity AND i.unit = v.iso_u JOIN units p ON p.quantity = v.quantity AND p.unit = v.pll_u)
+    SELECT id AS basis_id FROM c WHERE CASE WHEN quantity = 'temperature' THEN abs(a - b) > 1.0 + 1e-6 ELSE abs(a - b) > 0.01 * greatest(abs(a), abs(b)) + 1e-9 END"""
+
+
 ORACLE = {
+    "p2_found": _p2_sql(),
     "p1_found": _p1_sql(),
     "p7_found": _p7_sql() + "SELECT table_name, row_id, ref_field FROM orphans",
     "p7_report": _p7_sql() + "SELECT table_name, ref_field, strftime(created_at, '%Y-%m') AS month, count(*) AS orphans FROM orphans GROUP BY ALL",
