@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import blank, number, trimmed, unit
+from .text import WS, or_null, placeholder, trimmed
 
 # Units that are brought to bar and to mm.
 TO_BAR = {"bar": 1.0, "barg": 1.0, "bara": 1.0, "kpa": 0.01, "kpag": 0.01, "kpaa": 0.01, "mpa": 10.0, "mpag": 10.0, "psi": 0.0689476, "psig": 0.0689476, "kgcm2": 0.980665, "kg/cm2": 0.980665}
@@ -15,7 +15,13 @@ TO_MM = {"mm": 1.0, "cm": 10.0, "m": 1000.0, "in": 25.4, '"': 25.4, "inch": 25.4
 
 def prepared(df: DataFrame, a: str, b: str) -> DataFrame:
     """Adds number, unit, factor and blankness of both sides, each computed once, for `common` and `verdict`."""
-    out = df.withColumns({"_na": number(F.col(a)), "_nb": number(F.col(b)), "_ua": unit(F.col(a)), "_ub": unit(F.col(b)), "_none": blank(F.col(a)) | blank(F.col(b)), "_same": F.lower(trimmed(F.col(a))) == F.lower(trimmed(F.col(b)))})
+    out = df.withColumns({"_ta": trimmed(F.col(a)), "_tb": trimmed(F.col(b))})
+    none = lambda t: F.coalesce(placeholder(F.col(t)), F.lit(True))
+    out = out.withColumns({"_ba": none("_ta"), "_bb": none("_tb")})
+    first = lambda t: F.regexp_extract(F.regexp_replace(t, ",", ""), r"-?\d+(\.\d+)?", 0).try_cast("double")
+    rest = lambda t: or_null(F.regexp_replace(F.lower(F.regexp_extract(t, rf"^-?[\d.,]+{WS}*(.*)$", 1)), f"{WS}+", ""))
+    out = out.withColumns({f"_n{s}": F.when(~F.col(f"_b{s}"), first(f"_t{s}")) for s in "ab"} | {f"_u{s}": rest(f"_t{s}") for s in "ab"})
+    out = out.withColumns({"_none": F.col("_ba") | F.col("_bb"), "_same": F.lower("_ta") == F.lower("_tb")})
     table = F.create_map(*[F.lit(x) for t, kind in ((TO_BAR, "p"), (TO_MM, "l")) for k, v in t.items() for x in (f"{kind}{k}", v)])
     look = lambda kind, u: F.element_at(table, F.concat(F.lit(kind), u))
     return out.withColumns({f"_{kind}{s}": look(kind, F.col(f"_u{s}")) for kind in ("p", "l") for s in ("a", "b")})

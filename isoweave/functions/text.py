@@ -47,8 +47,13 @@ LOOSE = rf"[-]|{WS}"
 
 def blank(v: Column) -> Column:
     """Null, empty or a placeholder; a first word of only X counts as one."""
+    return v.isNull() | placeholder(trimmed(v))
+
+
+def placeholder(t: Column) -> Column:
+    """Whether a trimmed text is empty or a placeholder."""
     words = "|".join(w.replace(".", r"\.") for w in PLACEHOLDERS)
-    return v.isNull() | F.upper(trimmed(v)).rlike(rf"(?s)^(|{words}|{PLACEHOLDER_TOKEN[1:-1]}({WS}.*)?)$")
+    return F.upper(t).rlike(rf"(?s)^(|{words}|{PLACEHOLDER_TOKEN[1:-1]}({WS}.*)?)$")
 
 
 def stated(v: Column) -> Column:

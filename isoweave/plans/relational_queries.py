@@ -335,7 +335,14 @@ def set_classes(spark, d):
 _BASIS = [("1.size", "size", "size", True), ("2.design_pressure", "design_pressure", "design_pressure", True), ("2.design_temperature", "design_temperature", "design_temperature", True), ("2.operating_pressure", "operating_pressure", "operating_pressure", True), ("2.service", "service", "fluid_code", False), ("2.heat_trace", "heat_trace", "heat_trace", False)]
 
 
-@query()
+_SIDES = f"""i AS (SELECT * FROM {bag('b', sorted({b[1] for b in _BASIS}), "tag_type = 'line' AND doc_type = 'iso'")}),
+l AS (SELECT * FROM {bag('b', sorted({b[2] for b in _BASIS}), "tag_type = 'line' AND doc_type = 'pll'")}),
+f AS (SELECT *, {key('tag_number')} AS k, row_number() OVER (PARTITION BY project_id, {key('tag_number')} ORDER BY id) AS r FROM l)"""
+_STACK = " UNION ALL ".join(f"SELECT i.id AS iso_id, f.id AS pll_id, '{n}' AS field_checked, {str(num).lower()} AS numeric, i.{a} AS iso_value, f.{b} AS pll_value FROM i JOIN f ON f.r = 1 AND f.project_id = i.project_id AND f.k = {key('i.tag_number')}" for n, a, b, num in _BASIS)
+
+
+@query(f"""WITH {_SIDES}, s AS ({_STACK}), v AS (SELECT *, {X.num('iso_value')} AS na, {X.num('pll_value')} AS nb, {X.unit('iso_value')} AS ua, {X.unit('pll_value')} AS ub FROM s)
+SELECT iso_id, pll_id, field_checked, iso_value AS value_a, pll_value AS value_b FROM v WHERE CASE WHEN numeric THEN {X._verdict_sql(True)} ELSE {X._verdict_sql(False)} END = 'mismatch'""")
 def check_design_basis(spark, d):
     """Findings of title blocks against the line list: fields that both state and that differ."""
     iso_f, pll_f = sorted({b[1] for b in _BASIS}), sorted({b[2] for b in _BASIS})
