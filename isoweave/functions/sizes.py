@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import number, or_null, trimmed
+from .text import number, trimmed
 
 # The two nominal size tables; they are not inverses of each other.
 NPS_TO_DN = {0.5: 15, 0.75: 20, 1: 25, 1.25: 32, 1.5: 40, 2: 50, 2.5: 65, 3: 80, 4: 100, 5: 125, 6: 150, 8: 200, 10: 250, 12: 300, 14: 350, 16: 400, 18: 450, 20: 500, 24: 600, 28: 700, 30: 750, 36: 900, 42: 1050, 48: 1200}

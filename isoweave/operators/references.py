@@ -11,8 +11,6 @@ probe groups, to each of which the range's parents are copied.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -78,7 +76,10 @@ def orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
     )
     crowd = guarded_broadcast(crowd)  # one row per range
     refs_at = (
-        r.withColumn("range", in_range).join(crowd, "range").withColumn("salt", F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in carried] or ["key"]), F.col("groups")).cast("int")).drop("groups")
+        r.withColumn("range", in_range)
+        .join(crowd, "range")
+        .withColumn("salt", F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in carried] or ["key"]), F.col("groups")).cast("int"))
+        .drop("groups")
     )
     parents_at = p.withColumn("range", in_range).join(crowd, "range").select("range", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), "h", "key")
     schema = refs.select(*carried).schema

@@ -39,8 +39,8 @@ def bands(rows: DataFrame, part: list[str], pos: str, same: list[str]) -> DataFr
     alike = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lag(c).over(w)) for c in same])
     marked = rows.withColumn("_new", F.when((F.row_number().over(w) > 1) & alike, 0).otherwise(1))
     island = marked.withColumn("_i", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    size = lambda c, f: f(c, pos)
-    return island.groupBy(*part, "_i", *same).agg(F.min(pos).alias("first_pos"), F.max(pos).alias("last_pos"), F.count("*").alias("rows"), size("size_min", F.min_by).alias("size_min"), size("size_max", F.max_by).alias("size_max")).drop("_i")
+    merged = [F.min(pos).alias("first_pos"), F.max(pos).alias("last_pos"), F.count("*").alias("rows"), F.min_by("size_min", pos).alias("size_min"), F.max_by("size_max", pos).alias("size_max")]
+    return island.groupBy(*part, "_i", *same).agg(*merged).drop("_i")
 
 
 def overlaps(rows: DataFrame, part: list[str], lo: str, hi: str, pos: str) -> DataFrame:

@@ -95,7 +95,7 @@ def _walk(node: Node, kind: object, prefix: str, max_fields: int, only: set[str]
     elif isinstance(kind, dict):
         if len(kind) > max_fields:
             node.wide.append(prefix or "$")
-            return
+            kind = {k: v for k, v in kind.items() if only and k in only}  # what is asked for by name is never left out
         for name, sub in kind.items():
             if re.fullmatch(r"\w+", name):
                 _walk(node, sub, f"{prefix}.{name}" if prefix else name, max_fields, only)
@@ -212,7 +212,7 @@ def shred(
     root: where to begin, "$" or a top-level field that is itself repeated. only: names of repeated fields to
     follow (their last path step) beside those on the way; None follows all that the merged schema has.
     max_fields: an object with more fields than this is keyed by data, not by name; it is reported in
-    ``schema[level].wide`` and not followed.
+    ``schema[level].wide`` and followed only for the names in ``only``.
 
     Defined cases: null, empty and unreadable text has no rows; a null key keeps its rows; an empty table gives
     an empty result; repeated rows are kept, each with its own elements; other columns are ignored, whatever

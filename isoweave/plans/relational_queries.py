@@ -119,9 +119,6 @@ def join_weld_list(spark, d):
     return j.select("weld_id", "list_id", F.when(known, F.lower(T.trimmed(F.col("size"))) != F.lower(T.trimmed(F.col("nd")))).alias("size_differs"))
 
 
-_V = ("coalesce(TRY_CAST(regexp_extract(quantity, '\\d+(\\.\\d+)?') AS DOUBLE), 1)",)
-
-
 def _valve_side(df: DataFrame, text: F.Column, n: str) -> DataFrame:
     qty = F.coalesce(T.number(F.col("quantity")), F.lit(1.0))
     v = df.select("project_id", T.tag_key(F.col("line_number")).alias("line"), K.valve(text).alias("valve"), S.dn(F.col("size")).alias("dn"), qty.alias("q"))

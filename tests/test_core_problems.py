@@ -53,6 +53,8 @@ def test_shred_empty_clash_and_wide(spark):
     assert {"id", "id_2", "pos_2", "v"} <= set(clash.flat("items").columns)
     wide = shred.shred(rows(spark, [json.dumps({f"k{i}": [1] for i in range(30)})]), "raw", ["id"], max_fields=20)
     assert wide.schema["$"].wide == ["$"] and wide.rows.filter("level <> '$'").count() == 0
+    asked = shred.shred(rows(spark, [json.dumps({f"k{i}": 1 for i in range(30)} | {"welds": [{"t": 1}]})]), "raw", ["id"], only={"welds"}, max_fields=20)
+    assert asked.rows.filter("level = '$/welds'").count() == 1
 
 
 def test_shred_long_text_and_null_key(spark):
