@@ -99,9 +99,25 @@ def propagate(edges: DataFrame) -> DataFrame:
     return known
 
 
-def harmonise(df: DataFrame, field: str = "field", iso: str = "iso_value", pll: str = "pll_value", remarks: str = "remarks", key: str = "id") -> Harmonised:
+def read(values: DataFrame, text: str, number: str, unit: str) -> DataFrame:
+    """Adds the number of a text (null if not given) and the spelling of the unit beside it."""
+    return values.withColumn(number, F.when(~Q.not_given(F.col(text)), Q.number(F.col(text)))).withColumn(unit, Q.unit_beside(F.col(text)))
+
+
+def link(values: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of two sources that state one quantity of one line: ``keys, quantity, ua, ub, a, b``, each once.
+
+    values: keys, quantity, number, unit; others the same, in any number per key. Null keys link nothing.
+    """
+    v = values.select(*keys, "quantity", F.col("unit").alias("ua"), F.col("number").alias("a")).filter("a is not null").distinct()
+    o = others.select(*keys, "quantity", F.col("unit").alias("ub"), F.col("number").alias("b")).filter("b is not null").distinct()
+    return v.join(o, [*keys, "quantity"]).select(*keys, "quantity", "ua", "ub", "a", "b")
+
+
+def harmonise(df: DataFrame, field: str = "field", iso: str = "iso_value", pll: str = "pll_value", remarks: str = "remarks", key: str = "id", linked: DataFrame | None = None) -> Harmonised:
     """Bring both values of every quantity row to barg, °C or mm.
 
+    linked: pairs of values from other sources (``quantity, ua, ub, a, b``) that the estimates take in beside the rows.
     Rows of other fields are left out. A value that is not given, or whose unit is neither estimated nor known
     by name, has a null common value. An empty table gives empty results; repeated rows are kept; null keys are kept.
     """
@@ -115,6 +131,9 @@ def harmonise(df: DataFrame, field: str = "field", iso: str = "iso_value", pll:
     pairs = src.filter(F.col("iso_number").isNotNull() & F.col("pll_number").isNotNull()).select(
         "quantity", F.col("iso_unit").alias("ua"), F.col("pll_unit").alias("ub"), F.col("iso_number").alias("a"), F.col("pll_number").alias("b"), F.xxhash64(key).alias("salt")
     )
+    if linked is not None:
+        cols = ["quantity", "ua", "ub", "a", "b"]
+        pairs = pairs.unionByName(linked.select(*cols, F.xxhash64(*linked.columns).alias("salt")))
     learned = propagate(estimate_edges(materialise(pairs, "unit-pairs")))
     named = known_units(df.sparkSession)
     units = learned.withColumn("basis", F.when(F.col("unit") == "", "definition").otherwise("estimated")).drop("hop").join(

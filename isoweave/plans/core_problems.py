@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.quantity import KNOWN_UNITS
+from ..functions import text as T
+from ..functions.quantity import KNOWN_UNITS, quantity_of, remark_unit
 from ..operators import references, shred, units
-from ..runtime import table
+from ..runtime import materialise, table
 
 SHEET_CHILDREN = ["bom_items", "welds"]
 TAG_CHILDREN = ["spec_breaks", "pipes", "fittings", "flanges", "valves"]
@@ -47,33 +50,95 @@ def p1_bom_items(spark: SparkSession, d: str) -> DataFrame:
     return s.flat("sheets/result.bom_items")
 
 
+LINE_FIELDS = ["design_pressure", "operating_pressure", "hydrotest_pressure", "test_pressure", "design_temperature", "operating_temperature", "insul_thickness_mm", "insulation_thickness", "corrosion_allowance"]
+#: Fields that other sources name otherwise.
+_SAME_FIELD = {"hydrotest_pressure": "test_pressure", "insul_thickness_mm": "insulation_thickness"}
+_LINK = ["document_id", "line", "link_field"]
+
+
+def _link_field(field: Column) -> Column:
+    f = F.regexp_replace(F.lower(F.trim(field)), r"\s+", "_")
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in _SAME_FIELD.items() for x in kv])[f], f)
+
+
+def _stated(rows: DataFrame, keep: list[str], text: Callable[[str], Column]) -> DataFrame:
+    """One row per quantity field that a record states, whatever its form."""
+    kind = lambda f: "pressure" if "pressure" in f else "temperature" if "temperature" in f else "length"
+    return rows.select(*keep, F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(kind(f)).alias("quantity"), text(f).alias("text")) for f in LINE_FIELDS]))).filter("text is not null")
+
+
+def _sheet_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Quantity fields of every sheets[].result, with result_pos 0 where it is no array."""
+    v = table(spark, d, "extraction_results").select(F.col("id").alias("result_id"), "document_id", shred.parse(F.col("raw_json")).alias("v"))
+    s = v.select("result_id", "document_id", F.posexplode(shred.elements(shred.at(F.col("v"), "sheets"))).alias("sheet_pos", "s"))
+    r = s.select("result_id", "document_id", "sheet_pos", F.posexplode(shred.elements(shred.at(F.col("s"), "result"))).alias("result_pos", "r"))
+    r = r.withColumn("line", T.tag_key(F.try_variant_get("r", "$.line_number", "string")))
+    return _stated(r, ["result_id", "document_id", "sheet_pos", "result_pos", "line"], lambda f: F.try_variant_get("r", f"$.{f}", "string"))
+
+
+def _line_fields(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "extracted_tags").filter("tag_type = 'line'")
+    bags = t.select(F.col("id").alias("tag_id"), "project_id", "doc_type", T.tag_key(F.col("tag_number")).alias("line"), F.from_json("attributes", ", ".join(f"{f} string" for f in LINE_FIELDS)).alias("a"))
+    return _stated(bags, ["tag_id", "project_id", "doc_type", "line"], lambda f: F.col(f"a.{f}"))
+
+
+def _linked(spark: SparkSession, d: str, sheets: DataFrame) -> DataFrame:
+    """Pairs of values of one line and field: sheets against the design basis and against line list tags.
+
+    What a row of the design basis pairs already is left out, so no reading counts twice.
+    """
+    sheets = units.read(sheets, "text", "number", "unit").withColumn("link_field", _link_field(F.col("field")))
+    quantity = quantity_of(F.col("field"))
+    basis = table(spark, d, "design_basis").withColumn("quantity", quantity).filter("quantity is not null")
+    basis = basis.select("document_id", "project_id", T.tag_key(F.col("line_number")).alias("line"), _link_field(F.col("field")).alias("link_field"), "quantity", "iso_value", "pll_value", "remarks")
+    for side in ("iso", "pll"):
+        basis = units.read(basis, f"{side}_value", f"{side}_number", f"{side}_unit")
+        basis = basis.withColumn(f"{side}_unit", F.when(F.col(f"{side}_unit") != "", F.col(f"{side}_unit")).otherwise(remark_unit(F.col("remarks"), side.upper(), F.col("quantity"))))
+    lists = units.read(_line_fields(spark, d).filter("doc_type = 'pll'"), "text", "number", "unit").withColumn("link_field", _link_field(F.col("field")))
+    projects = table(spark, d, "project_documents").select(F.col("id").alias("document_id"), "project_id").unionByName(table(spark, d, "design_basis").select("document_id", "project_id"))
+    projects = projects.filter("document_id is not null and project_id is not null").distinct()
+    to_basis = units.link(sheets, basis.select(*_LINK, "quantity", F.col("pll_number").alias("number"), F.col("pll_unit").alias("unit")), _LINK)
+    to_lists = units.link(sheets.join(projects, "document_id"), lists, ["project_id", "line", "link_field"])
+    here = basis.select("project_id", "line", "link_field", "quantity", F.col("iso_unit").alias("ua"), F.col("pll_unit").alias("ub"), F.col("iso_number").alias("a"), F.col("pll_number").alias("b")).filter("a is not null and b is not null")
+    cols = ["project_id", "line", "link_field", "quantity", "ua", "ub", "a", "b"]
+    both = to_basis.join(projects, "document_id").select(*cols).unionByName(to_lists.select(*cols)).distinct()
+    return both.join(here.distinct(), cols, "left_anti")
+
+
+def _harmonised(spark: SparkSession, d: str, sheets: DataFrame | None = None) -> units.Harmonised:
+    """The design basis in common units, with what all sources teach about spellings."""
+    sheets = materialise(_sheet_fields(spark, d), "sheet-fields") if sheets is None else sheets
+    return units.harmonise(table(spark, d, "design_basis"), linked=_linked(spark, d, sheets))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    h = units.harmonise(table(spark, d, "design_basis"))
+    h = _harmonised(spark, d)
     return h.rows.filter(units.differ(F.col("quantity"), F.col("iso_common"), F.col("pll_common"))).select(F.col("id").alias("basis_id"))
 
 
 def p2_units(spark: SparkSession, d: str) -> DataFrame:
     """What each unit spelling was taken for, and on what basis."""
-    u = units.harmonise(table(spark, d, "design_basis")).units
+    u = _harmonised(spark, d).units
     return u.select("quantity", "unit", F.round("scale", 6).alias("scale"), F.round("offset", 6).alias("offset"), "basis")
 
 
 def p2_common(spark: SparkSession, d: str) -> DataFrame:
     """Both values of every quantity row in barg, °C or mm."""
-    h = units.harmonise(table(spark, d, "design_basis"))
+    h = _harmonised(spark, d)
     return h.rows.select(F.col("id").alias("basis_id"), "quantity", F.round("iso_common", 4).alias("iso_common"), F.round("pll_common", 4).alias("pll_common"))
 
 
-LINE_FIELDS = ["design_pressure", "operating_pressure", "hydrotest_pressure", "test_pressure", "design_temperature", "operating_temperature", "insul_thickness_mm", "insulation_thickness", "corrosion_allowance"]
+def p2_line_values(spark: SparkSession, d: str) -> DataFrame:
+    """Quantities in the line tags in the common units, read with what all sources taught about spellings."""
+    known = _harmonised(spark, d).units
+    return units.convert(_line_fields(spark, d), known, "quantity", "text").select("tag_id", "field", "quantity", F.round("common", 4).alias("common"))
 
 
-def p2_line_values(spark: SparkSession, d: str) -> DataFrame:
-    """Quantities in the line tags in the common units, read with what the design basis taught about spellings."""
-    known = units.harmonise(table(spark, d, "design_basis")).units
-    bags = table(spark, d, "extracted_tags").filter("tag_type = 'line'").select("id", F.from_json("attributes", ", ".join(f"{f} string" for f in LINE_FIELDS)).alias("a"))
-    kind = lambda f: "pressure" if "pressure" in f else "temperature" if "temperature" in f else "length"
-    rows = bags.select(F.col("id").alias("tag_id"), F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(kind(f)).alias("quantity"), F.col(f"a.{f}").alias("text")) for f in LINE_FIELDS])))
-    return units.convert(rows.filter("text is not null"), known, "quantity", "text").select("tag_id", "field", "quantity", F.round("common", 4).alias("common"))
+def p2_sheet_values(spark: SparkSession, d: str) -> DataFrame:
+    """Quantities of every ISO sheet's result in the common units."""
+    sheets = materialise(_sheet_fields(spark, d), "sheet-fields")
+    known = _harmonised(spark, d, sheets).units
+    return units.convert(sheets, known, "quantity", "text").select("result_id", F.col("sheet_pos").cast("int"), F.col("result_pos").cast("int"), "line", "field", "quantity", F.round("common", 4).alias("common"))
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
@@ -90,7 +155,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return references.report(_orphans(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_welds, p1_bom_items, p2_found, p2_units, p2_common, p2_line_values, p7_found, p7_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_welds, p1_bom_items, p2_found, p2_units, p2_common, p2_line_values, p2_sheet_values, p7_found, p7_report)}
 
 _KEY = "regexp_replace(regexp_extract({v}, '([0-9]+)[^0-9]*$', 1), '^0+([0-9])', '\\1')"
 _GIVEN = "{v} IS NOT NULL AND upper(regexp_replace({v}, '^[\\s\\x{{00a0}}]+|[\\s\\x{{00a0}}]+$', '', 'g')) NOT IN ('', '-', 'N/A', 'NA', 'XX', 'NIL', 'NIL.')"
