@@ -67,23 +67,29 @@ def first_in_range(left: DataFrame, right: DataFrame, keys: list[str], x: str, l
     return hit.groupBy(*left.columns).agg(F.min("_pos").alias("pos"))
 
 
-def components(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """(node, component): connected components by alternating label steps; the label is the least node.
+def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """(node, component): connected components by alternating large-star and small-star steps; the label is the least node.
 
-    Every round writes its labels to the shared folder, so the lineage stays short and no component is gathered.
+    Ends when the edges are stars around their least nodes, in O(log² n) rounds whatever the order of ids; raises after
+    ``rounds``. Every round writes its edges to the shared folder, so the lineage stays short and no component is gathered.
     """
     from ..runtime import materialise
 
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a is not null and b is not null")
-    nodes = materialise(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")), "labels")
-    both = materialise(both.distinct(), "edges")
+    given = materialise(edges.select("a", "b").filter("a is not null and b is not null").distinct(), "edges")
+    nodes = given.select(F.col("a").alias("node")).unionByName(given.select(F.col("b").alias("node"))).distinct()
+    links = given.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
     for _ in range(rounds):
-        seen = both.join(nodes.select(F.col("a").alias("b"), F.col("c").alias("cb")), "b").groupBy("a").agg(F.min("cb").alias("m"))
-        step = nodes.join(seen, "a").select("a", F.least("c", "m").alias("n"), "c")
-        jump = step.join(nodes.select(F.col("a").alias("n"), F.col("c").alias("cn")), "n", "left").select("a", F.least("n", F.coalesce("cn", "n")).alias("n"), "c")
-        jump = materialise(jump, "labels")
-        done = jump.filter("n <> c").isEmpty()
-        nodes = jump.select("a", F.col("n").alias("c"))
-        if done:
+        # Large star: the larger neighbours of a node move to the least of its neighbours and itself.
+        both = links.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(links.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        links = materialise(both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), "links")
+        # Small star: a node and its smaller neighbours move to the least of these.
+        least = links.groupBy("hi").agg(F.min("lo").alias("m"))
+        moved = links.join(least, "hi").filter("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        links = materialise(least.select("hi", F.col("m").alias("lo")).unionByName(moved).distinct(), "links")
+        parents = links.select(F.col("lo").alias("hi")).distinct()
+        if links.join(parents, "hi", "left_semi").isEmpty() and links.groupBy("hi").count().filter("count > 1").isEmpty():
             break
-    return nodes.select(F.col("a").alias("node"), F.col("c").alias("component"))
+    else:
+        raise RuntimeError(f"components: not settled after {rounds} rounds")
+    return nodes.join(links, F.col("node") == F.col("hi"), "left").select("node", F.coalesce("lo", "node").alias("component"))

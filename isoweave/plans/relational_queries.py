@@ -392,6 +392,16 @@ def graph_components(spark, d):
     return R.components(e)
 
 
+@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT 'd|' || document_id AS a, 'l|' || project_id || '|' || {key('tag_number')} AS b FROM extracted_tags WHERE tag_type = 'line' AND document_id IS NOT NULL AND project_id IS NOT NULL AND {key('tag_number')} IS NOT NULL),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT a AS node, a AS lab FROM u UNION SELECT u.a, r.lab FROM r JOIN u ON u.b = r.node WHERE r.lab < u.a)
+SELECT node, min(lab) AS component FROM r GROUP BY node""")
+def graph_lines(spark, d):
+    """Connected components of all documents and the lines they state."""
+    t = table(spark, d, "extracted_tags").filter("tag_type = 'line'").select(F.concat(F.lit("d|"), "document_id").alias("a"), F.concat(F.lit("l|"), "project_id", F.lit("|"), T.tag_key(F.col("tag_number"))).alias("b"))
+    return R.components(t)
+
+
 _CITED = f"""n AS (SELECT id AS note_id, document_id, coalesce(source_page, 0) AS page, location_note AS note FROM {bag('b', ['location_note'], "tag_type = 'weld'")}),
 c AS (SELECT note_id, document_id, page, unnest(regexp_extract_all(note, {q(spools.CITATION)})) AS raw, unnest(range(len(regexp_extract_all(note, {q(spools.CITATION)})))) AS n FROM n WHERE note IS NOT NULL),
 b AS (SELECT document_id, coalesce(source_page, 0) AS page, {trim('tag_number')} AS item_no, min(id) AS bom_id, count(*) AS hits FROM extracted_tags WHERE tag_type = 'bom_item' GROUP BY ALL)"""
