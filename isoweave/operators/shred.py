@@ -41,14 +41,14 @@ def is_object(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
 
 
-def elements(v: Column) -> Column:
+def elements(v: Column, lone_too: bool = True) -> Column:
     """array<variant> of a repeated field in whatever form it is stored; null if it has none."""
     as_array = lambda x: F.try_variant_get(x, "$", "array<variant>")
     text = F.try_variant_get(v, "$", "string")
     inner = F.try_parse_json(text)
     lone = lambda x: F.when(is_object(x), F.array(x))
     # try_parse_json of an object's own text gives the same object, so one fallback serves both forms
-    return F.coalesce(as_array(v), F.when(text.rlike(r"^\s*[\[{]"), F.coalesce(as_array(inner), lone(inner))))
+    return F.coalesce(as_array(v), F.when(text.rlike(r"^\s*[\[{]"), F.coalesce(as_array(inner), lone(inner)) if lone_too else as_array(inner)))
 
 
 # --- merged schema -------------------------------------------------------------------------------
@@ -63,6 +63,7 @@ class Node:
     repeated: dict[str, "Node"] = field(default_factory=dict)
     wide: list[str] = field(default_factory=list)
     mixed: list[str] = field(default_factory=list)  # stored in more than one form
+    ways: set[str] = field(default_factory=set)  # arrays that lead to an asked-for name; of mixed ones only the array forms
 
 
 def _read_type(s: str, i: int = 0) -> tuple[object, int]:
@@ -89,13 +90,20 @@ def _read_type(s: str, i: int = 0) -> tuple[object, int]:
     return m.group(), m.end()
 
 
+def _leads(kind: object, only: set[str]) -> bool:
+    """Whether a field of this type leads to a name in ``only``, or may, as its form is mixed."""
+    if isinstance(kind, dict):
+        return any(k in only or _leads(v, only) for k, v in kind.items())
+    return _leads(kind[0], only) if isinstance(kind, list) else kind == "VARIANT"
+
+
 def _walk(node: Node, kind: object, prefix: str, max_fields: int, only: set[str] | None = None) -> None:
     if prefix and only and prefix.split(".")[-1] in only:  # asked for: repeated in whatever form it is stored
         node.repeated[prefix] = Node(prefix)
     elif isinstance(kind, dict):
         if len(kind) > max_fields:
             node.wide.append(prefix or "$")
-            kind = {k: v for k, v in kind.items() if only and k in only}  # what is asked for by name is never left out
+            kind = {k: v for k, v in kind.items() if only and (k in only or _leads(v, only))}  # what is asked for by name, or leads there, is never left out
         for name, sub in kind.items():
             if re.fullmatch(r"\w+", name):
                 _walk(node, sub, f"{prefix}.{name}" if prefix else name, max_fields, only)
@@ -103,6 +111,8 @@ def _walk(node: Node, kind: object, prefix: str, max_fields: int, only: set[str]
         node.repeated[prefix] = Node(prefix)
         if kind == "VARIANT":
             node.mixed.append(prefix)
+        elif only and _leads(kind, only):
+            node.ways.add(prefix)
     elif prefix:
         node.leaves[prefix] = str(kind)
 
@@ -121,7 +131,10 @@ def infer(levels: DataFrame, path_col: str, value_col: str, max_fields: int, onl
 
 
 def resolve_mixed(level: DataFrame, schema: dict[str, Node], max_fields: int, only: set[str] | None = None) -> None:
-    """Fields stored in several forms that are objects or text of objects, never arrays, are objects: add their fields."""
+    """Fields stored in several forms that are objects or text of objects, never arrays, are objects: add their fields.
+
+    On the way to names in ``only`` each form is followed where it stands: the fields of objects as fields, arrays as a level.
+    """
     pairs = [(name, p) for name, node in schema.items() for p in node.mixed]
     if not pairs:
         return
@@ -130,19 +143,23 @@ def resolve_mixed(level: DataFrame, schema: dict[str, Node], max_fields: int, on
     one = level.filter(is_object(v)).select(F.inline(F.filter(forms, lambda f: f["x"].isNotNull())))
     inner = F.try_parse_json(F.try_variant_get("x", "$", "string"))  # of an object's own text: the object
     kinds = one.select("name", "path", F.schema_of_variant("x").startswith("ARRAY").alias("listed"), inner.alias("o"))
-    rows = kinds.groupBy("name", "path").agg(F.max(F.col("listed") | F.coalesce(F.schema_of_variant("o").startswith("ARRAY"), F.lit(False))).alias("listed"), F.expr("schema_of_variant_agg(o) filter (where schema_of_variant(o) like 'OBJECT%')").alias("s"))
+    rows = kinds.groupBy("name", "path").agg(F.max(F.col("listed") | F.coalesce(F.schema_of_variant("o").startswith("ARRAY"), F.lit(False))).alias("listed"), F.expr("schema_of_variant_agg(o) filter (where schema_of_variant(o) like 'OBJECT%')").alias("s"), F.expr("schema_of_variant_agg(o) filter (where schema_of_variant(o) like 'ARRAY%')").alias("arrays"))
     for r in rows.toLocalIterator():  # one row per field of the schema
         kind = _read_type(r["s"])[0] if r["s"] and r["s"] != "VOID" else None
-        if isinstance(kind, dict) and not r["listed"]:
-            del schema[r["name"]].repeated[r["path"]]
-            _walk(schema[r["name"]], kind, r["path"], max_fields, only)
+        node = schema[r["name"]]
+        if isinstance(kind, dict) and (only or not r["listed"]):
+            if not r["listed"]:
+                del node.repeated[r["path"]]
+            _walk(node, kind, r["path"], max_fields, only)
+        if only and r["listed"] and r["arrays"] and _leads(_read_type(r["arrays"])[0], only):
+            node.ways.add(r["path"])
 
 
 # --- exploding -----------------------------------------------------------------------------------
 
 
-def explode_level(df: DataFrame, children: dict[str, list[str]], keep: list[str]) -> DataFrame:
-    """Explode repeated fields of the elements in ``df(level, ords, v)``.
+def explode_level(df: DataFrame, children: dict[str, list[str]], keep: list[str], arrays: set[tuple[str, str]] = frozenset()) -> DataFrame:
+    """Explode repeated fields of the elements in ``df(level, ords, v)``; of (level, path) in ``arrays`` no lone objects.
 
     ``children`` maps a level to the dotted paths to explode there. All children come from one pass;
     the result has the same columns, one row per stored element with ``ords`` one longer.
@@ -154,7 +171,7 @@ def explode_level(df: DataFrame, children: dict[str, list[str]], keep: list[str]
         *[
             F.struct(
                 F.lit(f"{level}/{p}").alias("level"),
-                F.when(F.col("level") == level, elements(at(F.col("v"), p))).alias("items"),
+                F.when(F.col("level") == level, elements(at(F.col("v"), p), (level, p) not in arrays)).alias("items"),
             )
             for level, paths in children.items()
             for p in paths
@@ -174,25 +191,28 @@ class Shredded:
     schema: dict[str, Node]
     keys: list[str]
 
-    def flat(self, level: str) -> DataFrame:
-        """Typed flat table of one level: keys, ``parent_ords``, ``pos``, one column per leaf of the merged schema.
+    def flat(self, level: str, *also: str) -> DataFrame:
+        """Typed flat table of one level, and of others that hold the same in another form: keys, ``parent_ords``, ``pos``, one column per leaf of the merged schema.
 
         Leaf columns are named after their path, with ``__`` for a dot and a ``_2``, ``_3`` ... suffix where
         that clashes with a key. Elements that are not objects give a row with null leaves and their text in
         ``scalar_text``.
         """
-        node, used = self.schema.get(level, Node(level)), {*self.keys, "parent_ords", "pos", "scalar_text"}
+        used, leaves = {*self.keys, "parent_ords", "pos", "scalar_text"}, {}
+        for node in [self.schema.get(x, Node(x)) for x in (level, *also)]:
+            for path, kind in node.leaves.items():
+                leaves[path] = kind if leaves.get(path, "VOID") in ("VOID", kind) else leaves[path] if kind == "VOID" else "VARIANT"
         cols = []
-        for path, kind in node.leaves.items():
+        for path, kind in leaves.items():
             name, n = path.replace(".", "__"), 2
             while name.lower() in {u.lower() for u in used}:
                 name, n = f"{path.replace('.', '__')}_{n}", n + 1
             used.add(name)
             cols.append(F.try_variant_get("v", "$." + path, "string" if kind in ("VOID", "VARIANT") else kind).alias(name))
-        return self.rows.filter(F.col("level") == level).select(
+        return self.rows.filter(F.col("level").isin(level, *also)).select(
             *self.keys,
             F.slice("ords", F.lit(1), F.size("ords") - 1).alias("parent_ords"),
-            F.element_at("ords", -1).alias("pos"),
+            F.try_element_at("ords", F.lit(-1)).alias("pos"),
             *cols,
             F.when(~is_object(F.col("v")), F.try_variant_get("v", "$", "string")).alias("scalar_text"),
         )
@@ -210,7 +230,8 @@ def shred(
     """Flatten ``json_col`` into one long table of elements, carrying ``keys`` and all ordinals.
 
     root: where to begin, "$" or a top-level field that is itself repeated. only: names of repeated fields to
-    follow (their last path step) beside those on the way; None follows all that the merged schema has.
+    follow (their last path step) beside those on the way, in objects and arrays; the rows are then those of the
+    levels asked for. None follows all that the merged schema has.
     max_fields: an object with more fields than this is keyed by data, not by name; it is reported in
     ``schema[level].wide`` and followed only for the names in ``only``.
 
@@ -226,22 +247,28 @@ def shred(
     else:
         level = base
     schema: dict[str, Node] = {}
-    out = None
+    out, found = None, False
     for _ in range(max_depth):
         here = infer(level, "level", "v", max_fields, only)
-        seen = {p.split(".")[-1] for node in here.values() for p in node.repeated}
-        if only is None or not only <= seen:
-            resolve_mixed(level, here, max_fields, only)
+        resolve_mixed(level, here, max_fields, only)
         schema |= here
-        follow = {
-            name: [p for p in node.repeated if only is None or p.split(".")[-1] in only] for name, node in here.items()
-        }
-        out = level.filter(F.col("v").isNotNull()) if out is None else out.unionByName(level)
-        follow = {k: v for k, v in follow.items() if v}
+        asked = {name: [p for p in node.repeated if only is None or p.split(".")[-1] in only] for name, node in here.items()}
+        ways = {name: [p for p in node.repeated if p in node.ways and p not in asked[name]] for name, node in here.items()}
+        follow = {name: asked[name] + ways[name] for name in here if asked[name] + ways[name]}
+        if out is None or only is None:
+            out = level.filter(F.col("v").isNotNull()) if out is None else out.unionByName(level)
         if not follow:
             break
-        level = explode_level(level, follow, keys)
-        if only is not None and all(p.split(".")[-1] in only for v in follow.values() for p in v):
-            out = level  # the levels asked for are leaves of the walk; their parents were only the way
-            break
+        level = explode_level(level, follow, keys, {(name, p) for name, ps in ways.items() for p in ps})
+        if only is not None:
+            # The levels asked for are leaves of the walk; their parents were only the way.
+            wanted = [f"{name}/{p}" for name, ps in asked.items() for p in ps]
+            onward = [f"{name}/{p}" for name, ps in ways.items() for p in ps]
+            if wanted:
+                leaf = level.filter(F.col("level").isin(wanted)) if onward else level
+                out = leaf if not found else out.unionByName(leaf)
+                found = True
+            if not onward:
+                break
+            level = level.filter(F.col("level").isin(onward))
     return Shredded(out, schema, keys)

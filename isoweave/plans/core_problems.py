@@ -27,27 +27,26 @@ def _bags(spark: SparkSession, d: str) -> shred.Shredded:
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     child = F.regexp_extract("level", r"(\w+)$", 1)
     parts = []
-    for name, s, depth in (("extraction_results", _sheets(spark, d), 2), ("extracted_tags", _bags(spark, d), 1)):
-        sheet = F.element_at("ords", 1) if depth == 2 else F.lit(0)
+    for name, s, kept, sheet in (("extraction_results", _sheets(spark, d), F.col("level").rlike(r"^sheets/result[./]\w+$"), F.try_element_at("ords", F.lit(1))), ("extracted_tags", _bags(spark, d), F.size("ords") == 1, F.lit(0))):
         parts.append(
-            s.rows.filter(shred.is_object(F.col("v")) & (F.size("ords") == depth)).select(
-                F.lit(name).alias("parent_table"), F.col("id").cast("string").alias("parent_id"), sheet.cast("int").alias("sheet_pos"), child.alias("child"), F.element_at("ords", -1).cast("int").alias("child_pos")
+            s.rows.filter(shred.is_object(F.col("v")) & kept).select(
+                F.lit(name).alias("parent_table"), F.col("id").cast("string").alias("parent_id"), sheet.cast("int").alias("sheet_pos"), child.alias("child"), F.try_element_at("ords", F.lit(-1)).cast("int").alias("child_pos")
             )
         )
     return parts[0].unionByName(parts[1])
 
 
 def p1_welds(spark: SparkSession, d: str) -> DataFrame:
-    """Flat table of the welds of all ISO sheets, with the parent's id and position."""
+    """Flat table of the welds of all ISO sheets, with the parent's id and position; a result stored as an array adds its own to parent_ords."""
     s = _sheets(spark, d)
     s.schema |= shred.infer(s.rows, "level", "v", 400)
-    return s.flat("sheets/result.welds")
+    return s.flat("sheets/result.welds", "sheets/result/welds")
 
 
 def p1_bom_items(spark: SparkSession, d: str) -> DataFrame:
     s = _sheets(spark, d)
     s.schema |= shred.infer(s.rows, "level", "v", 400)
-    return s.flat("sheets/result.bom_items")
+    return s.flat("sheets/result.bom_items", "sheets/result/bom_items")
 
 
 LINE_FIELDS = ["design_pressure", "operating_pressure", "hydrotest_pressure", "test_pressure", "design_temperature", "operating_temperature", "insul_thickness_mm", "insulation_thickness", "corrosion_allowance"]
