@@ -103,7 +103,8 @@ def _walk(node: Node, kind: object, prefix: str, max_fields: int, only: set[str]
     elif isinstance(kind, dict):
         if len(kind) > max_fields:
             node.wide.append(prefix or "$")
-            kind = {k: v for k, v in kind.items() if only and (k in only or _leads(v, only))}  # what is asked for by name, or leads there, is never left out
+            # Scalars stay columns; what is asked for by name, or leads there, is never left out.
+            kind = {k: v for k, v in kind.items() if isinstance(v, str) or (only and (k in only or _leads(v, only)))}
         for name, sub in kind.items():
             if re.fullmatch(r"\w+", name):
                 _walk(node, sub, f"{prefix}.{name}" if prefix else name, max_fields, only)
@@ -111,6 +112,7 @@ def _walk(node: Node, kind: object, prefix: str, max_fields: int, only: set[str]
         node.repeated[prefix] = Node(prefix)
         if kind == "VARIANT":
             node.mixed.append(prefix)
+            node.leaves[prefix] = "VARIANT"  # rows that hold scalars
         elif only and _leads(kind, only):
             node.ways.add(prefix)
     elif prefix:
@@ -190,12 +192,14 @@ class Shredded:
     rows: DataFrame
     schema: dict[str, Node]
     keys: list[str]
+    whole: bool = False
 
     def flat(self, level: str, *also: str) -> DataFrame:
         """Typed flat table of one level, and of others that hold the same in another form: keys, ``parent_ords``, ``pos``, one column per leaf of the merged schema.
 
         Leaf columns are named after their path, with ``__`` for a dot and a ``_2``, ``_3`` ... suffix where
-        that clashes with a key. Elements that are not objects give a row with null leaves and their text in
+        that clashes with a key. A field stored in several forms is text; rows that hold arrays or objects have null there
+        if the levels below have them (``whole`` not set), else their JSON text. Elements that are not objects give a row with null leaves and their text in
         ``scalar_text``.
         """
         used, leaves = {*self.keys, "parent_ords", "pos", "scalar_text"}, {}
@@ -208,7 +212,10 @@ class Shredded:
             while name.lower() in {u.lower() for u in used}:
                 name, n = f"{path.replace('.', '__')}_{n}", n + 1
             used.add(name)
-            cols.append(F.try_variant_get("v", "$." + path, "string" if kind in ("VOID", "VARIANT") else kind).alias(name))
+            value = F.try_variant_get("v", "$." + path, "string" if kind in ("VOID", "VARIANT") else kind)
+            if kind == "VARIANT" and not self.whole:
+                value = F.when(elements(at(F.col("v"), path)).isNull(), value)
+            cols.append(value.alias(name))
         return self.rows.filter(F.col("level").isin(level, *also)).select(
             *self.keys,
             F.slice("ords", F.lit(1), F.size("ords") - 1).alias("parent_ords"),
@@ -233,7 +240,7 @@ def shred(
     follow (their last path step) beside those on the way, in objects and arrays; the rows are then those of the
     levels asked for. None follows all that the merged schema has.
     max_fields: an object with more fields than this is keyed by data, not by name; it is reported in
-    ``schema[level].wide`` and followed only for the names in ``only``.
+    ``schema[level].wide``, keeps its scalars and is followed only for the names in ``only``.
 
     Defined cases: null, empty and unreadable text has no rows; a null key keeps its rows; an empty table gives
     an empty result; repeated rows are kept, each with its own elements; other columns are ignored, whatever
@@ -250,7 +257,8 @@ def shred(
     out, found = None, False
     for _ in range(max_depth):
         here = infer(level, "level", "v", max_fields, only)
-        resolve_mixed(level, here, max_fields, only)
+        if only is None or only:
+            resolve_mixed(level, here, max_fields, only)
         schema |= here
         asked = {name: [p for p in node.repeated if only is None or p.split(".")[-1] in only] for name, node in here.items()}
         ways = {name: [p for p in node.repeated if p in node.ways and p not in asked[name]] for name, node in here.items()}

@@ -36,17 +36,22 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def _flat(s: shred.Shredded, *levels: str) -> DataFrame:
+    """Flat table of levels that the walk did not go below: what their elements hold further down stays as JSON text."""
+    s.schema |= shred.infer(s.rows, "level", "v", 400)
+    for node in (s.schema[x] for x in levels if x in s.schema):
+        node.leaves |= {p: "VARIANT" for p in node.repeated}
+    s.whole = True
+    return s.flat(*levels)
+
+
 def p1_welds(spark: SparkSession, d: str) -> DataFrame:
     """Flat table of the welds of all ISO sheets, with the parent's id and position; a result stored as an array adds its own to parent_ords."""
-    s = _sheets(spark, d)
-    s.schema |= shred.infer(s.rows, "level", "v", 400)
-    return s.flat("sheets/result.welds", "sheets/result/welds")
+    return _flat(_sheets(spark, d), "sheets/result.welds", "sheets/result/welds")
 
 
 def p1_bom_items(spark: SparkSession, d: str) -> DataFrame:
-    s = _sheets(spark, d)
-    s.schema |= shred.infer(s.rows, "level", "v", 400)
-    return s.flat("sheets/result.bom_items", "sheets/result/bom_items")
+    return _flat(_sheets(spark, d), "sheets/result.bom_items", "sheets/result/bom_items")
 
 
 LINE_FIELDS = ["design_pressure", "operating_pressure", "hydrotest_pressure", "test_pressure", "design_temperature", "operating_temperature", "insul_thickness_mm", "insulation_thickness", "corrosion_allowance"]

@@ -28,3 +28,19 @@ def test_wide_objects_keep_the_way_to_names_asked_for(spark):
     df = spark.createDataFrame([("a", json.dumps({"sheets": [wide]}))], "id string, raw string")
     s = shred.shred(df, "raw", ["id"], root="sheets", only={"welds"}, max_fields=20)
     assert [(r.level, tuple(r.ords)) for r in s.rows.collect()] == [("sheets/result.welds", (0, 0))]
+
+
+def test_scalars_of_two_forms_stay_a_column(spark, tmp_path):
+    items = [{"size": "2 in", "n": 1}, {"size": 50, "n": 2}, {"size": {"dn": 50}, "n": 3}, {"size": [1, 2], "n": 4}]
+    d = sheets_folder(spark, tmp_path, [json.dumps({"sheets": [{"result": {"bom_items": [i]}}]}) for i in items])
+    assert {r.n: r["size"] for r in QUERIES["p1_bom_items"](spark, d).collect()} == {1: "2 in", 2: "50", 3: '{"dn":50}', 4: "[1,2]"}
+    df = spark.createDataFrame([("a", json.dumps({"items": items}))], "id string, raw string")
+    s = shred.shred(df, "raw", ["id"], root="items")
+    assert {r.n: r["size"] for r in s.flat("items").collect()} == {1: "2 in", 2: "50", 3: None, 4: None}
+    assert sorted(tuple(r.ords) for r in s.rows.filter("level = 'items/size'").collect()) == [(2, 0), (3, 0), (3, 1)]
+
+
+def test_wide_objects_keep_their_scalars(spark):
+    df = spark.createDataFrame([("a", json.dumps({"items": [{f"k{i}": i for i in range(30)} | {"m": [1]}]}))], "id string, raw string")
+    r = shred.shred(df, "raw", ["id"], root="items", max_fields=20).flat("items").first()
+    assert r.k0 == 0 and r.k29 == 29
