@@ -218,7 +218,7 @@ class Shredded:
             cols.append(value.alias(name))
         return self.rows.filter(F.col("level").isin(level, *also)).select(
             *self.keys,
-            F.slice("ords", F.lit(1), F.size("ords") - 1).alias("parent_ords"),
+            F.slice("ords", F.lit(1), F.greatest(F.size("ords") - 1, F.lit(0))).alias("parent_ords"),
             F.try_element_at("ords", F.lit(-1)).alias("pos"),
             *cols,
             F.when(~is_object(F.col("v")), F.try_variant_get("v", "$", "string")).alias("scalar_text"),

@@ -115,6 +115,22 @@ def _harmonised(spark: SparkSession, d: str, sheets: DataFrame | None = None) ->
     return units.harmonise(table(spark, d, "design_basis"), linked=_linked(spark, d, sheets))
 
 
+def _tag_table(child: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        s = shred.shred(table(spark, d, "extracted_tags"), "attributes", ["id"], only={child})
+        return _flat(s, f"$/{child}")
+
+    run.__name__, run.__doc__ = f"p1_{child}", f"Flat table of the {child} of all tags, with the tag's id and the position."
+    return run
+
+
+def p1_tag_elements(spark: SparkSession, d: str) -> DataFrame:
+    """Every element of every level of all tags' attributes, with its parent's positions, as JSON text."""
+    s = shred.shred(table(spark, d, "extracted_tags"), "attributes", ["id"])
+    below = s.rows.filter(F.col("level") != "$")
+    return below.select("id", "level", F.slice("ords", F.lit(1), F.greatest(F.size("ords") - 1, F.lit(0))).alias("parent_ords"), F.try_element_at("ords", F.lit(-1)).alias("pos"), F.to_json("v").alias("element"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     h = _harmonised(spark, d)
     return h.rows.filter(units.differ(F.col("quantity"), F.col("iso_common"), F.col("pll_common"))).select(F.col("id").alias("basis_id"))
@@ -159,7 +175,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return references.report(_orphans(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_welds, p1_bom_items, p2_found, p2_units, p2_common, p2_line_values, p2_sheet_values, p7_found, p7_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_welds, p1_bom_items, *map(_tag_table, TAG_CHILDREN), p1_tag_elements, p2_found, p2_units, p2_common, p2_line_values, p2_sheet_values, p7_found, p7_report)}
 
 _KEY = "regexp_replace(regexp_extract({v}, '([0-9]+)[^0-9]*$', 1), '^0+([0-9])', '\\1')"
 _GIVEN = "{v} IS NOT NULL AND upper(regexp_replace({v}, '^[\\s\\x{{00a0}}]+|[\\s\\x{{00a0}}]+$', '', 'g')) NOT IN ('', '-', 'N/A', 'NA', 'XX', 'NIL', 'NIL.')"

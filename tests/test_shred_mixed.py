@@ -3,7 +3,7 @@
 import json
 
 from isoweave.operators import shred
-from isoweave.plans.core_problems import QUERIES
+from isoweave.plans.core_problems import QUERIES, TAG_CHILDREN
 
 
 def sheets_folder(spark, path, texts):
@@ -44,3 +44,14 @@ def test_wide_objects_keep_their_scalars(spark):
     df = spark.createDataFrame([("a", json.dumps({"items": [{f"k{i}": i for i in range(30)} | {"m": [1]}]}))], "id string, raw string")
     r = shred.shred(df, "raw", ["id"], root="items", max_fields=20).flat("items").first()
     assert r.k0 == 0 and r.k29 == 29
+
+
+def test_tag_children_are_flat_tables_and_the_walk_goes_down(spark, tmp_path):
+    bag = {c: [{"size": c, "ends": [{"e": 1}, {"e": 2}]}, "note"] for c in TAG_CHILDREN}
+    tags = [(1, "spec_class", json.dumps(bag)), (2, "line", json.dumps({"spec_breaks": {"size": "lone"}})), (3, "line", "{")]
+    spark.createDataFrame(tags, "id bigint, tag_type string, attributes string").write.parquet(f"{tmp_path}/extracted_tags.parquet")
+    for c in TAG_CHILDREN:
+        got = sorted((r.id, r.pos, r["size"], r.ends, r.scalar_text) for r in QUERIES[f"p1_{c}"](spark, str(tmp_path)).collect())
+        assert got[:2] == [(1, 0, c, '[{"e":1},{"e":2}]', None), (1, 1, None, None, "note")] and len(got) == 2 + (c == "spec_breaks")
+    deep = QUERIES["p1_tag_elements"](spark, str(tmp_path)).filter("level like '%/ends'").collect()
+    assert sorted((r.level, tuple(r.parent_ords), r.pos, r.element) for r in deep) == sorted((f"$/{c}/ends", (0,), i, f'{{"e":{i + 1}}}') for c in TAG_CHILDREN for i in (0, 1))
