@@ -231,7 +231,7 @@ def shred(
     keys: list[str],
     root: str = "$",
     only: set[str] | None = None,
-    max_depth: int = 4,
+    max_depth: int | None = None,
     max_fields: int = 400,
 ) -> Shredded:
     """Flatten ``json_col`` into one long table of elements, carrying ``keys`` and all ordinals.
@@ -239,6 +239,7 @@ def shred(
     root: where to begin, "$" or a top-level field that is itself repeated. only: names of repeated fields to
     follow (their last path step) beside those on the way, in objects and arrays; the rows are then those of the
     levels asked for. None follows all that the merged schema has.
+    max_depth: levels below the root that may be found before an error is raised; None goes down to the last.
     max_fields: an object with more fields than this is keyed by data, not by name; it is reported in
     ``schema[level].wide``, keeps its scalars and is followed only for the names in ``only``.
 
@@ -255,7 +256,8 @@ def shred(
         level = base
     schema: dict[str, Node] = {}
     out, found = None, False
-    for _ in range(max_depth):
+    depth = 0
+    while True:
         here = infer(level, "level", "v", max_fields, only)
         if only is None or only:
             resolve_mixed(level, here, max_fields, only)
@@ -267,6 +269,9 @@ def shred(
             out = level.filter(F.col("v").isNotNull()) if out is None else out.unionByName(level)
         if not follow:
             break
+        if depth == max_depth:
+            raise ValueError(f"shred: levels below max_depth={max_depth}: {sorted(follow)}")
+        depth += 1
         level = explode_level(level, follow, keys, {(name, p) for name, ps in ways.items() for p in ps})
         if only is not None:
             # The levels asked for are leaves of the walk; their parents were only the way.

@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from isoweave.operators import shred
 from isoweave.plans.core_problems import QUERIES, TAG_CHILDREN
 
@@ -55,3 +57,13 @@ def test_tag_children_are_flat_tables_and_the_walk_goes_down(spark, tmp_path):
         assert got[:2] == [(1, 0, c, '[{"e":1},{"e":2}]', None), (1, 1, None, None, "note")] and len(got) == 2 + (c == "spec_breaks")
     deep = QUERIES["p1_tag_elements"](spark, str(tmp_path)).filter("level like '%/ends'").collect()
     assert sorted((r.level, tuple(r.parent_ords), r.pos, r.element) for r in deep) == sorted((f"$/{c}/ends", (0,), i, f'{{"e":{i + 1}}}') for c in TAG_CHILDREN for i in (0, 1))
+
+
+def test_the_walk_goes_down_to_the_last_level(spark):
+    deep = {"t": 6}
+    for _ in range(6):
+        deep = {"a": [deep]}
+    df = spark.createDataFrame([("x", json.dumps(deep))], "id string, raw string")
+    assert [r.t for r in shred.shred(df, "raw", ["id"]).flat("$" + "/a" * 6).collect()] == [6]
+    with pytest.raises(ValueError):
+        shred.shred(df, "raw", ["id"], max_depth=4)
