@@ -29,9 +29,8 @@ def last_number(v: Column) -> Column:
 
 
 def given(v: Column) -> Column:
-    """Not blank, -, N/A, NA, XX or NIL, whatever the case and white space."""
-    t = F.upper(F.regexp_replace(v, r"^[\s\u00a0]+|[\s\u00a0]+$", ""))
-    return v.isNotNull() & ~t.isin("", "-", "N/A", "NA", "XX", "NIL", "NIL.")
+    """Not blank, -, N/A, NA, XX or NIL by its letters and digits, so ``NA,`` and ``- -`` are none either."""
+    return v.isNotNull() & ~F.upper(F.regexp_replace(v, "[^A-Za-z0-9]+", "")).isin("", "NA", "XX", "NIL")
 
 
 def _probe(_: tuple, refs: pd.DataFrame, parents: pd.DataFrame) -> pd.DataFrame:

@@ -40,13 +40,15 @@ def _flat(s: shred.Shredded, *levels: str) -> DataFrame:
     """Flat table of levels that the walk did not go below: what their elements hold further down stays as JSON text."""
     s.schema |= shred.infer(s.rows, "level", "v", 400)
     for node in (s.schema[x] for x in levels if x in s.schema):
-        node.leaves |= {p: "VARIANT" for p in node.repeated}
+        node.leaves |= {p: "VARIANT" for p in node.repeated if p != shred.LIST}
     s.whole = True
-    return s.flat(*levels)
+    # Keys made from places in files differ between copies of a table: the queries show natural ids and positions.
+    flat = s.flat(*levels).withColumn("parent_ords", F.array_join(F.col("parent_ords").cast("array<string>"), "."))
+    return flat.drop("row_key", "parent_key", "element_key").withColumnRenamed("parent_ords", "parent_pos")
 
 
 def p1_welds(spark: SparkSession, d: str) -> DataFrame:
-    """Flat table of the welds of all ISO sheets, with the parent's id and position; a result stored as an array adds its own to parent_ords."""
+    """Flat table of the welds of all ISO sheets, with the parent's id and position; a result stored as an array adds its own to parent_pos."""
     return _flat(_sheets(spark, d), "sheets/result.welds", "sheets/result/welds")
 
 
@@ -128,7 +130,8 @@ def p1_tag_elements(spark: SparkSession, d: str) -> DataFrame:
     """Every element of every level of all tags' attributes, with its parent's positions, as JSON text."""
     s = shred.shred(table(spark, d, "extracted_tags"), "attributes", ["id"])
     below = s.rows.filter(F.col("level") != "$")
-    return below.select("id", "level", F.slice("ords", F.lit(1), F.greatest(F.size("ords") - 1, F.lit(0))).alias("parent_ords"), F.try_element_at("ords", F.lit(-1)).alias("pos"), F.to_json("v").alias("element"))
+    up = F.slice("ords", F.lit(1), F.greatest(F.size("ords") - 1, F.lit(0)))
+    return below.select("id", "level", F.array_join(up.cast("array<string>"), ".").alias("parent_pos"), F.try_element_at("ords", F.lit(-1)).alias("pos"), F.to_json("v").alias("element"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -178,7 +181,8 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p1_found, p1_welds, p1_bom_items, *map(_tag_table, TAG_CHILDREN), p1_tag_elements, p2_found, p2_units, p2_common, p2_line_values, p2_sheet_values, p7_found, p7_report)}
 
 _KEY = "regexp_replace(regexp_extract({v}, '([0-9]+)[^0-9]*$', 1), '^0+([0-9])', '\\1')"
-_GIVEN = "{v} IS NOT NULL AND upper(regexp_replace({v}, '^[\\s\\x{{00a0}}]+|[\\s\\x{{00a0}}]+$', '', 'g')) NOT IN ('', '-', 'N/A', 'NA', 'XX', 'NIL', 'NIL.')"
+#: Given: letters and digits are left that are not one of the words for "none".
+_GIVEN = "upper(regexp_replace(coalesce({v}, ''), '[^A-Za-z0-9]', '', 'g')) NOT IN ('', 'NA', 'XX', 'NIL')"
 
 
 def _p7_sql() -> str:
@@ -200,21 +204,44 @@ def _p7_sql() -> str:
     """
 
 
-def _p1_sql() -> str:
-    """Elements of a field in whatever form, as arrays of JSON, in DuckDB."""
-    forms = """CASE json_type({v}) WHEN 'ARRAY' THEN CAST({v} AS JSON[]) WHEN 'OBJECT' THEN [{v}]
-      WHEN 'VARCHAR' THEN CASE WHEN json_valid({v} ->> '$') THEN CASE json_type(CAST({v} ->> '$' AS JSON)) WHEN 'ARRAY' THEN CAST(CAST({v} ->> '$' AS JSON) AS JSON[]) WHEN 'OBJECT' THEN [CAST({v} ->> '$' AS JSON)] END END END"""
+#: Elements of a field in whatever form, as arrays of JSON.
+_FORMS = """CASE json_type({v}) WHEN 'ARRAY' THEN CAST({v} AS JSON[]) WHEN 'OBJECT' THEN [{v}]
+  WHEN 'VARCHAR' THEN CASE WHEN json_valid({v} ->> '$') THEN CASE json_type(CAST({v} ->> '$' AS JSON)) WHEN 'ARRAY' THEN CAST(CAST({v} ->> '$' AS JSON) AS JSON[]) WHEN 'OBJECT' THEN [CAST({v} ->> '$' AS JSON)] END END END"""
+
+
+def _elements_sql() -> str:
+    """te(id, child, pos, v) of the tags and e(id, sheet_pos, child, pos, v) of the sheets in DuckDB."""
     sheets = " UNION ALL ".join(f"SELECT id, sheet_pos, '{c}' AS child, sheet -> '$.result.{c}' AS f FROM s" for c in SHEET_CHILDREN)
     bags = " UNION ALL ".join(f"SELECT id, '{c}' AS child, CAST(attributes AS JSON) -> '$.{c}' AS f FROM extracted_tags WHERE json_valid(attributes)" for c in TAG_CHILDREN)
     return f"""
-    WITH r AS MATERIALIZED (SELECT id, {forms.format(v="(CAST(raw_json AS JSON) -> '$.sheets')")} AS items FROM extraction_results WHERE json_valid(raw_json)),
+    WITH r AS MATERIALIZED (SELECT id, {_FORMS.format(v="(CAST(raw_json AS JSON) -> '$.sheets')")} AS items FROM extraction_results WHERE json_valid(raw_json)),
     s AS (SELECT id, CAST(unnest(range(len(items))) AS INTEGER) AS sheet_pos, unnest(items) AS sheet FROM r),
     f AS MATERIALIZED ({sheets}),
-    e AS (SELECT id, sheet_pos, child, unnest(range(len(x))) AS pos, unnest(x) AS v FROM (SELECT id, sheet_pos, child, {forms.format(v='f')} AS x FROM f)),
+    e AS (SELECT id, sheet_pos, child, CAST(unnest(range(len(x))) AS INTEGER) AS pos, unnest(x) AS v FROM (SELECT id, sheet_pos, child, {_FORMS.format(v='f')} AS x FROM f)),
     tf AS MATERIALIZED ({bags}),
-    te AS (SELECT id, child, unnest(range(len(x))) AS pos, unnest(x) AS v FROM (SELECT id, child, {forms.format(v='f')} AS x FROM tf))
-    SELECT 'extraction_results' AS parent_table, id AS parent_id, sheet_pos, child, CAST(pos AS INTEGER) AS child_pos FROM e WHERE json_type(v) = 'OBJECT'
-    UNION ALL SELECT 'extracted_tags', CAST(id AS VARCHAR), 0, child, CAST(pos AS INTEGER) FROM te WHERE json_type(v) = 'OBJECT'"""
+    te AS (SELECT id, child, CAST(unnest(range(len(x))) AS INTEGER) AS pos, unnest(x) AS v FROM (SELECT id, child, {_FORMS.format(v='f')} AS x FROM tf))"""
+
+
+def _p1_sql() -> str:
+    return f"""{_elements_sql()}
+    SELECT 'extraction_results' AS parent_table, id AS parent_id, sheet_pos, child, pos AS child_pos FROM e WHERE json_type(v) = 'OBJECT'
+    UNION ALL SELECT 'extracted_tags', CAST(id AS VARCHAR), 0, child, pos FROM te WHERE json_type(v) = 'OBJECT'"""
+
+
+# Declared fields of the elements.
+_CLASS_ROW = ["description", "material", "size_min", "size_max"]
+_DECLARED = {
+    "welds": ["location_note", "size", "spool_no", "weld_list_id", "weld_tag", "weld_type"],
+    "bom_items": ["component_type", "description", "item_no", "item_spec_class", "material", "quantity", "size"],
+    "spec_breaks": ["location_note", "rating", "spec_class"],
+} | {c: _CLASS_ROW for c in ("pipes", "fittings", "flanges", "valves")}
+# End of fixed values.
+
+
+def _flat_sql(child: str) -> str:
+    fields = ", ".join(f"CASE WHEN json_type(v) = 'OBJECT' THEN v ->> '$.{c}' END AS {c}" for c in _DECLARED[child])
+    source, place = ("e", "CAST(sheet_pos AS VARCHAR)") if child in SHEET_CHILDREN else ("te", "''")
+    return f"{_elements_sql()} SELECT id, {place} AS parent_pos, pos, {fields}, CASE WHEN json_type(v) <> 'OBJECT' THEN v ->> '$' END AS scalar_text FROM {source} WHERE child = '{child}'"
 
 
 _BLANKS = r"[\s\x{00a0}\x{2007}\x{202f}]+"
@@ -255,6 +282,7 @@ def _p2_sql() -> str:
 ORACLE = {
     "p2_found": _p2_sql(),
     "p1_found": _p1_sql(),
+    **{f"p1_{c}": _flat_sql(c) for c in _DECLARED},
     "p7_found": _p7_sql() + "SELECT table_name, row_id, ref_field FROM orphans",
     "p7_report": _p7_sql() + "SELECT table_name, ref_field, strftime(created_at, '%Y-%m') AS month, count(*) AS orphans FROM orphans GROUP BY ALL",
 }

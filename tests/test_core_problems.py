@@ -52,11 +52,44 @@ def test_shred_empty_clash_and_wide(spark):
     clash = shred.shred(rows(spark, [json.dumps({"items": [{"id": 1, "pos": 2, "v": "w"}]})]), "raw", ["id"], root="items")
     assert {"id", "id_2", "pos_2", "v"} <= set(clash.flat("items").columns)
     wide = shred.shred(rows(spark, [json.dumps({f"k{i}": [1] for i in range(30)})]), "raw", ["id"], max_fields=20)
-    assert wide.schema["$"].wide == ["$"] and wide.rows.filter("level <> '$'").count() == 0
+    assert wide.schema["$"].wide == ["$"] and wide.rows.filter("level = '$/{}'").count() == 30
+    assert wide.flat("$/{}").filter("key = 'k7'").count() == 1 and wide.rows.filter("level = '$/{}/value'").count() == 30
     asked = shred.shred(rows(spark, [json.dumps({f"k{i}": 1 for i in range(30)} | {"welds": [{"t": 1}]})]), "raw", ["id"], only={"welds"}, max_fields=20)
     assert asked.rows.filter("level = '$/welds'").count() == 1
 
 
+def test_shred_goes_to_the_last_level_whatever_the_names(spark):
+    deep = {"f": [1]}
+    for name in "edcba":
+        deep = {name: [deep]}
+    s = shred.shred(rows(spark, [json.dumps(deep)]), "raw", ["id"])
+    assert {r.level for r in s.rows.select("level").collect()} == {"$", *("$/" + "/".join("abcdef"[:n]) for n in range(1, 7))}
+    named = {"bom-items": [{"x y": 1}], "a b": [2], "d.t": [3], "q'u\"o.t": [4], "": [5], " lead": [6], "b`t": [7], "h?": [{"z/y": [1]}]}
+    n = shred.shred(rows(spark, [json.dumps(named)]), "raw", ["id"])
+    assert n.rows.filter(F.size("ords") == 1).count() == 8 and n.rows.filter(F.size("ords") == 2).count() == 1
+    assert n.flat("$/bom-items").select("x y").first()[0] == 1 and shred.steps(shred.joined(list(named))) == [k or "" for k in named]
+
+
+def test_shred_explodes_arrays_of_arrays(spark):
+    s = shred.shred(rows(spark, [json.dumps({"m": [[1, {"k": 2}], [[{"z": 9}]], {"k": 3}]})]), "raw", ["id"])
+    got = sorted((r.level, tuple(r.ords)) for r in s.rows.collect() if r.level != "$")
+    assert got == [("$/m", (0,)), ("$/m", (1,)), ("$/m", (2,)), ("$/m/[]", (0, 0)), ("$/m/[]", (0, 1)), ("$/m/[]", (1, 0)), ("$/m/[]/[]", (1, 0, 0))]
+
+
+def test_shred_reads_valid_text_with_blanks_after_it(spark):
+    texts = ['{"a": [1]}' + " " * 70 + "\n", '{"a": [1]} x {', '{"a": [1]}}', '{"a": [1]}, 2', '{"a": [1]}] x']
+    s = shred.shred(rows(spark, texts), "raw", ["id"])
+    assert {r.id for r in s.rows.collect()} == {"r0"}
+
+
+def test_shred_keys_tell_repeated_records_apart(spark):
+    df = rows(spark, [json.dumps({"items": [{"sub": [1, 2]}]})] * 3).withColumn("id", F.lit(None).cast("string"))
+    s = shred.shred(df, "raw", ["id"])
+    top, low = s.flat("$/items").collect(), s.flat("$/items/sub").collect()
+    assert len({r.element_key for r in top}) == 3 and len({r.element_key for r in low}) == 6
+    assert {r.parent_key for r in low} == {r.element_key for r in top}
+
+
 def test_shred_long_text_and_null_key(spark):
     big = json.dumps({"items": [{"t": "x" * 50_000}] * 20})
     df = spark.createDataFrame([(None, big)], "id string, raw string")
@@ -117,9 +150,20 @@ def test_orphans_against_brute_force(spark, monkeypatch):
 
 
 def test_last_number_and_given(spark):
-    df = spark.createDataFrame([("ISO-25-A-S02",), ("SP.007 -",), ("none",), (None,), ("000",), (" NA ",), ("xx",)], "v string")
-    assert [r[0] for r in df.select(references.last_number(F.col("v"))).collect()] == ["2", "7", None, None, "0", None, None]
-    assert [r[0] for r in df.select(references.given(F.col("v"))).collect()] == [True, True, True, False, True, False, False]
+    texts = ["ISO-25-A-S02", "SP.007 -", "none", None, "000", " NA\u00a0", "xx", "NA,", "N/A -", "- -", "-.", "NIL.", "\tXX,", "XX1", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    assert [r[0] for r in df.select(references.last_number(F.col("v"))).collect()] == ["2", "7", None, None, "0", *[None] * 8, "1", None]
+    assert [r[0] for r in df.select(references.given(F.col("v"))).collect()] == [True, True, True, False, True, *[False] * 8, True, False]
+
+
+def test_citations_that_are_not_given_are_no_orphans(spark):
+    """NA, and NIL. cite nothing; a text without any number is given and equals no tag."""
+    weld = lambda i, v: (i, "d", "weld", f"W{i}", json.dumps({"spool_no": v}), None)
+    tags = spark.createDataFrame([weld(1, "NA,"), weld(2, "NIL."), weld(3, "by others"), weld(4, "SP-7"), weld(5, "SP 8"), (6, "d", "spool", "07", "{}", None)], "id bigint, document_id string, tag_type string, tag_number string, attributes string, created_at timestamp")
+    none = spark.createDataFrame([], "id string, document_id string, created_at timestamp")
+    refs = references.citations(tags, none, none).filter("ref_field = 'spool_no'")
+    docs = spark.createDataFrame([("d",)], "id string")
+    assert sorted(r.row_id for r in references.orphans(refs, references.targets(docs, tags)).collect()) == ["3", "5"]
 
 
 def test_equal_hashes_are_settled_by_key():
