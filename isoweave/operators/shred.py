@@ -161,9 +161,8 @@ def _walk(node: Node, kind: object, names: list[str], max_fields: int, only: set
             if only is None:
                 deep = joined([*names, ENTRIES])
                 node.repeated[deep] = Node(deep)
-                return
-            # What is asked for by name, or leads there, is never left out.
-            kind = {k: v for k, v in kind.items() if isinstance(v, str) or k in only or _leads(v, only)}
+            # Scalars stay columns; what is asked for by name, or leads there, is never left out.
+            kind = {k: v for k, v in kind.items() if (isinstance(v, str) and (only or v != "VARIANT")) or (only and (k in only or _leads(v, only)))}
         for name, sub in kind.items():
             _walk(node, sub, [*names, name], max_fields, only)
     elif names and (isinstance(kind, list) or kind == "VARIANT"):
@@ -339,8 +338,8 @@ def shred(
     levels asked for. None follows all that the merged schema has, arrays of arrays included (level ``.../[]``).
     max_depth: levels below the root that may be found before an error is raised; None goes down to the last.
     max_fields: an object with more fields than this is keyed by data, not by name: it is reported in ``schema[level].wide``
-    and becomes a level ``.../{}`` of {key, value} elements in the order of keys, whose values are followed further. With
-    ``only`` it is followed for the names asked for.
+    and becomes a level ``.../{}`` of {key, value} elements in the order of keys, whose values are followed further; its
+    scalars are columns of its own level too. With ``only`` it is followed for the names asked for.
 
     Defined cases: null, empty and unreadable text has no rows; white space around the value is no matter; names may
     hold any signs; a null key keeps its rows; an empty table gives an empty result; repeated rows are kept, each with
