@@ -1,21 +1,22 @@
 """Evaluation texts inside training texts (problem 9).
 
-A positional inverted index of the corpus is built for the words of the evaluation
-texts and stored as a table. It is partitioned by document: a row holds the posting lists
-(word to documents and positions) of a block of documents, so lists of one document always
-meet in one row and no intersection needs a shuffle. Document frequencies come from the
-index. In every window of MIN_WORDS words of an evaluation text the two rarest words are
-looked up and their position lists intersected after adjusting for their offsets; what is
-left is checked word by word against the index, which gives exact phrases (consecutive
-words in place) and proximity matches (most words in place).
+A positional inverted index of all words of the corpus is stored as a table that serves any
+later evaluation set. It is partitioned by document: a row holds the posting lists (word to
+documents and positions) of a block of documents, so lists of one document always meet in one
+row and no intersection needs a shuffle. Document frequencies come from the index. In every
+window of MIN_WORDS words of an evaluation text the rarest words are looked up and their
+position lists intersected after adjusting for their offsets; what is left is checked word by
+word against the index, which gives exact phrases (consecutive words in place) and proximity
+matches (most words of a window in order, a few words put in or left out at one place).
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialise
 
-#: Consecutive words that make a leak; words of such a window in place that make a proximity match; documents and
-#: characters from which a block is full (a document is never cut).
-MIN_WORDS, NEAR_WORDS, BLOCK_DOCS, BLOCK_CHARS = 12, 9, 2_000, 4_000_000
+#: Consecutive words that make a leak; words of such a window in order that make a proximity match; words that may be
+#: put in or left out at one place of it; documents and characters from which a block is full (a document is never cut).
+MIN_WORDS, NEAR_WORDS, SLACK, BLOCK_DOCS, BLOCK_CHARS = 12, 9, 2, 2_000, 4_000_000
 _WORD = re.compile(rb"[a-z0-9]+")
 
 
@@ -36,49 +37,51 @@ def words(text: str) -> list[bytes]:
     return _WORD.findall(text.encode("utf-8", "surrogatepass").lower())
 
 
-INDEX = "docs array<bigint>, terms array<int>, starts array<int>, doc array<int>, pos array<int>"
+INDEX = "docs array<bigint>, terms array<binary>, starts array<int>, doc array<int>, pos array<int>"
 
 
-def _block(ids: list[int], texts: list[str], get: Callable) -> pa.RecordBatch:
+def _block(ids: list[int], texts: list[str]) -> pa.RecordBatch:
     """Posting lists of one block: the postings of terms[i] are doc/pos[starts[i] : starts[i + 1]], sorted."""
+    known: dict[bytes, int] = {}
     term, doc, pos = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
     for k, text in enumerate(texts):
-        t = np.array([get(w, -1) for w in words(text)], dtype=np.int32)
-        p = np.flatnonzero(t >= 0).astype(np.int32)
-        pos.append(p)
-        term.append(t[p])
-        doc.append(np.full(len(p), k, dtype=np.int32))
+        t = np.array([known.setdefault(w, len(known)) for w in words(text)], dtype=np.int32)
+        term.append(t)
+        doc.append(np.full(len(t), k, dtype=np.int32))
+        pos.append(np.arange(len(t), dtype=np.int32))
     t, d, p = np.concatenate(term), np.concatenate(doc), np.concatenate(pos)
     order = np.argsort(t, kind="stable")  # document and position are in order already
-    t, d, p = t[order], d[order], p[order]
-    first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]]) if len(t) else np.zeros(0, np.int64)
-    one = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
-    cols = [one(np.asarray(ids, dtype=np.int64), pa.int64()), one(t[first], pa.int32()), one(np.r_[first, len(t)].astype(np.int32), pa.int32()), one(d, pa.int32()), one(p, pa.int32())]
+    starts = np.r_[0, np.cumsum(np.bincount(t, minlength=len(known)))].astype(np.int32)
+    one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+    cols = [one(pa.array(ids, pa.int64())), one(pa.array(list(known), pa.binary())), one(pa.array(starts)), one(pa.array(d[order])), one(pa.array(p[order]))]
     return pa.RecordBatch.from_arrays(cols, names=["docs", "terms", "starts", "doc", "pos"])
 
 
-def _indexer(vocabulary: dict[bytes, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, chars = [], [], 0
-        for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not text or i is None:
-                    continue
-                ids.append(i)
-                texts.append(text)
-                chars += len(text)
-                if len(ids) >= BLOCK_DOCS or chars >= BLOCK_CHARS:
-                    yield _block(ids, texts, vocabulary.get)
-                    ids, texts, chars = [], [], 0
-        if ids:
-            yield _block(ids, texts, vocabulary.get)
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ids, texts, chars = [], [], 0
+    for batch in batches:
+        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if not text or i is None:
+                continue
+            ids.append(i)
+            texts.append(text)
+            chars += len(text)
+            if len(ids) >= BLOCK_DOCS or chars >= BLOCK_CHARS:
+                yield _block(ids, texts)
+                ids, texts, chars = [], [], 0
+    if ids:
+        yield _block(ids, texts)
+
 
-    return run
+def build_index(docs: DataFrame) -> DataFrame:
+    """The index over whole texts, stored, one row per block of documents; null and empty texts have no postings."""
+    src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return materialise(src.mapInArrow(_index, INDEX), "postings")
 
 
 def eval_words(items: DataFrame) -> tuple[list[tuple[int, list[bytes]]], dict[bytes, int]]:
-    """Words of every evaluation text and the vocabulary. The driver reads one pass of them, PASS_ITEMS on average."""
-    rows = [(int(r[0]), words(r[1] or "")) for r in items.select("item_id", "text").toLocalIterator()]
+    """Words of every evaluation text and the vocabulary. The driver reads one pass of them, at most PASS_CHARS on average."""
+    rows = [(int(r[0]), words(r[1] or "")) for r in items.filter("item_id is not null").select("item_id", "text").toLocalIterator()]
     vocabulary: dict[bytes, int] = {}
     for _, ws in rows:
         for w in ws:
@@ -86,36 +89,51 @@ def eval_words(items: DataFrame) -> tuple[list[tuple[int, list[bytes]]], dict[by
     return rows, vocabulary
 
 
-def build_index(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
-    """The index over whole texts, stored, one row per block of documents; null and empty texts have no postings."""
-    src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return materialise(src.mapInArrow(_indexer(vocabulary), INDEX), "postings")
+def frequencies(index: DataFrame, vocabulary: dict[bytes, int]) -> np.ndarray:
+    """Occurrences of every word of the vocabulary in the corpus: one row per word reaches the driver."""
+    shared = index.sparkSession.sparkContext.broadcast(vocabulary)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(shared.value), np.int64)
+        for batch in batches:
+            for terms, starts in zip(batch.column(0), batch.column(1)):
+                here = [shared.value.get(t, -1) for t in terms.as_py()]
+                t = np.array(here, dtype=np.int64)
+                n = np.diff(np.asarray(starts.values))
+                total[t[t >= 0]] += n[t >= 0]  # a block holds a word once
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["term", "n"])
+
+    out = np.zeros(len(vocabulary), np.int64)
+    for r in index.select("terms", "starts").mapInArrow(count, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r[0]] = r[1]
+    return out
 
-def frequencies(index: DataFrame) -> dict[int, int]:
-    """Occurrences of every word of the vocabulary in the corpus: one row per word reaches the driver."""
-    n = F.zip_with("terms", F.sequence(F.lit(1), F.size("terms")), lambda t, i: F.struct(t.alias("term"), (F.element_at("starts", i + 1) - F.element_at("starts", i)).cast("bigint").alias("n")))
-    rows = index.filter(F.size("terms") > 0).select(F.inline(n)).groupBy("term").agg(F.sum("n").alias("n"))
-    return {r[0]: r[1] for r in rows.toLocalIterator()}
 
+def seeds(rows: list[tuple[int, list[bytes]]], vocabulary: dict[bytes, int], df: np.ndarray, n: int, near: int | None) -> np.ndarray:
+    """Rows (rarer term, other term, gap, item, place of the first), each once, of every window of n words.
 
-def seeds(rows: list[tuple[int, list[bytes]]], vocabulary: dict[bytes, int], df: dict[int, int], n: int) -> list[tuple[int, int, int, int, int]]:
-    """(item, rarest term, its place, second term, its place) of every window of n words, each once."""
-    out = set()
+    A phrase needs the two rarest words of its window. A window of which n - near words are missing in a text still has
+    two of its 2 + n - near rarest words there, so for proximity all pairs of these are taken. A word that the corpus
+    does not hold counts as missing beforehand, so the answer for a text depends on no other text.
+    """
+    out: set[tuple[int, int, int, int, int]] = set()
     for item, ws in rows:
         t = [vocabulary[w] for w in ws]
-        rank = [(df.get(x, 0), x, i) for i, x in enumerate(t)]
+        rank = [(int(df[x]), x, i) for i, x in enumerate(t)]
         for s in range(len(t) - n + 1):
-            window = sorted(rank[s : s + n])
-            if window[0][0] == 0:
-                continue  # a word that no document has: no document has the window
-            a, b = window[0], window[1]
-            out.add((item, a[1], a[2], b[1], b[2]))
-    return sorted(out)
-
-
-#: Evaluation texts of one pass; larger sets take several passes over the corpus.
-PASS_ITEMS = 20_000
+            held = [r for r in rank[s : s + n] if r[0]]
+            absent = n - len(held)
+            missing = 0 if near is None else n - near - absent
+            if missing < 0 or (near is None and absent):
+                continue
+            for a, b in combinations(sorted(held)[: 2 + missing], 2):
+                out.add((a[1], b[1], b[2] - a[2], item, a[2]))
+    return np.array(sorted(out), dtype=np.int64).reshape(-1, 5)
+
+
+#: Characters of evaluation texts of one pass; larger sets search the stored index in several passes.
+PASS_CHARS = 20_000_000
 RESULT = "item_id bigint, doc_id bigint, kind string, words int, doc_start int"
 
 
@@ -129,78 +147,109 @@ def _longest(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best, end
 
 
-def _search(block: dict, pairs: dict, places: dict[int, np.ndarray], n: int, near: int) -> list[tuple]:
-    terms, starts = np.asarray(block["terms"]), np.asarray(block["starts"])
-    if not len(terms):
+def _in_order(hit: np.ndarray, n: int, slack: int) -> tuple[np.ndarray, np.ndarray]:
+    """Most words of a window of n in order and that window's place, with one shift of up to ``slack`` words.
+
+    hit: row, shift (-slack .. slack), place: whether the text has the item's word there. A window is read on one shift
+    up to some place and on another after it; words that a smaller shift would read twice are passed over.
+    """
+    rows, shifts, width = hit.shape
+    n = min(n, width)
+    c = np.zeros((rows, shifts, width + 1), np.int16)
+    np.cumsum(hit, axis=2, out=c[:, :, 1:])
+    places = width - n + 1
+    mid = c[:, slack]
+    best = (mid[:, n:] - mid[:, :places]).copy()
+    for other in range(shifts):
+        d = other - slack
+        if not d:
+            continue
+        for k in range(1, n):
+            for first, second, skip in ((mid, c[:, other], max(0, -d)), (c[:, other], mid, max(0, d))):
+                if k + skip < n:
+                    np.maximum(best, first[:, k : k + places] - first[:, :places] + second[:, n : n + places] - second[:, k + skip : k + skip + places], out=best)
+    return best.max(axis=1), best.argmax(axis=1)
+
+
+def _search(block: dict, seed: np.ndarray, places: dict[int, np.ndarray], vocabulary: dict[bytes, int], n: int, near: int | None, slack: int) -> list[tuple]:
+    known = np.array([vocabulary.get(t, -1) for t in block["terms"]], dtype=np.int64)
+    if not (known >= 0).any():
         return []
-    key = (np.asarray(block["doc"], dtype=np.int64) << 32) + np.asarray(block["pos"], dtype=np.int64)
-    lists = {int(t): key[starts[i] : starts[i + 1]] for i, t in enumerate(terms)}
+    starts = block["starts"]
+    key = (block["doc"].astype(np.int64) << 32) + block["pos"]
+    row_of = np.full(len(vocabulary), -1, np.int64)  # where a word's postings are in this block
+    row_of[known[known >= 0]] = np.flatnonzero(known >= 0)
+    # Only seeds of which the block holds both words are looked at.
+    live = seed[(row_of[seed[:, 0]] >= 0) & (row_of[seed[:, 1]] >= 0)]
     lines: dict[int, list[np.ndarray]] = defaultdict(list)
-    for (t1, t2, gap), users in pairs.items():
-        a, b = lists.get(t1), lists.get(t2)
-        if a is None or b is None:
-            continue
-        k = np.searchsorted(b, a + gap)
-        k[k == len(b)] = 0
-        met = a[b[k] == a + gap]
-        if len(met):
-            for item, p1 in users:
-                lines[item].append(met - p1)  # where the item's first word would be
+    cut = np.flatnonzero(np.r_[True, (live[1:, :3] != live[:-1, :3]).any(axis=1)]) if len(live) else []
+    for lo, hi in zip(cut, [*cut[1:], len(live)]):
+        t1, t2, gap = live[lo, :3]
+        a, b = (key[starts[row_of[t]] : starts[row_of[t] + 1]] for t in (t1, t2))
+        for shift in range(-slack, slack + 1) if near else (0,):
+            k = np.searchsorted(b, a + gap + shift)
+            k[k == len(b)] = 0
+            met = a[b[k] == a + gap + shift]
+            if len(met):
+                for item, p1 in live[lo:hi, 3:]:
+                    lines[int(item)].append(met - p1)  # where the item's first word would be
+    if not lines:
+        return []
     order = np.argsort(key, kind="stable")
-    at, term_at = key[order], np.repeat(terms, np.diff(starts))[order]
+    at, term_at = key[order], np.repeat(known, np.diff(starts))[order]
     docs, out = block["docs"], []
     for item, found in lines.items():
         want = places[item]
         start = np.unique(np.concatenate(found))
-        step = max(1, 400_000 // max(1, len(want)))
+        step = max(1, 100_000 // max(1, len(want)))
         for lo in range(0, len(start), step):
             s = start[lo : lo + step]
-            look = s[:, None] + np.arange(len(want))
-            k = np.minimum(np.searchsorted(at, look), len(at) - 1)
-            hit = (at[k] == look) & (term_at[k] == want)
+
+            def held(shift: int, s: np.ndarray = s) -> np.ndarray:
+                look = s[:, None] + shift + np.arange(len(want))
+                k = np.minimum(np.searchsorted(at, look), len(at) - 1)
+                return (at[k] == look) & (term_at[k] == want)
+
+            hit = held(0)
             best, end = _longest(hit)
-            c = np.cumsum(np.pad(hit.astype(np.int32), ((0, 0), (1, 0))), axis=1)
-            width = min(n, hit.shape[1])
-            window = c[:, width:] - c[:, :-width]
-            most, where = window.max(axis=1), window.argmax(axis=1)
-            for r in np.flatnonzero((best >= n) | (most >= near)):
-                # the document and position of the item's first word; the sum undoes a place before the text's start
-                first = int(s[r]) + int(end[r] - best[r] if best[r] >= n else where[r])
-                exact = best[r] >= n
-                out.append((item, int(docs[first >> 32]), "phrase" if exact else "proximity", int(best[r] if exact else most[r]), first & 0xFFFFFFFF))
+            exact = best >= n
+            most, where = best.copy(), end - best
+            rest = np.flatnonzero(~exact)
+            if near and len(rest):
+                most[rest], where[rest] = _in_order(np.stack([held(d)[rest] if d else hit[rest] for d in range(-slack, slack + 1)], axis=1), n, slack)
+            for r in np.flatnonzero(exact | (most >= near) if near else exact):
+                # a line may begin before its text: rounding gives the document, and the place is 0 at least
+                doc = (int(s[r]) + (1 << 31)) >> 32
+                out.append((item, int(docs[doc]), "phrase" if exact[r] else "proximity", int(most[r]), max(0, int(s[r]) + int(where[r]) - (doc << 32))))
     return out
 
 
-def matches(docs: DataFrame, items: DataFrame, n: int = MIN_WORDS, near: int = NEAR_WORDS) -> DataFrame:
-    """(item_id, doc_id, kind, words, doc_start): the best match per item and document.
-
-    kind 'phrase': at least n consecutive words; words is the length of the run. kind 'proximity': no such run, but
-    at least ``near`` words of a window of n are in place, the two rarest among them; words is their number. An item
-    or text of fewer than n words matches nothing; a repeated doc_id gives one row per item; null texts and ids match
-    nothing. Extra columns are ignored.
-    """
-    spark: SparkSession = docs.sparkSession
-    passes = -(-items.count() // PASS_ITEMS)
+def search(index: DataFrame, items: DataFrame, n: int = MIN_WORDS, near: int | None = NEAR_WORDS, slack: int = SLACK) -> DataFrame:
+    """Matches of evaluation texts in a stored index, as `matches` gives them; near None looks for phrases only."""
+    spark: SparkSession = index.sparkSession
+    passes = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // PASS_CHARS))
     if passes > 1:
         part = F.pmod(F.xxhash64("item_id"), F.lit(passes))
-        return reduce(DataFrame.unionByName, [matches(docs, items.filter(part == k), n, near) for k in range(passes)])
+        return reduce(DataFrame.unionByName, [_pass(index, items.filter(part == k), n, near, slack) for k in range(passes)])
+    return _pass(index, items, n, near, slack)
+
+
+def _pass(index: DataFrame, items: DataFrame, n: int, near: int | None, slack: int) -> DataFrame:
+    spark = index.sparkSession
     rows, vocabulary = eval_words(items)
     if not vocabulary:
         return spark.createDataFrame([], RESULT)
-    index = build_index(docs, vocabulary)
-    pairs: dict[tuple[int, int, int], list[tuple[int, int]]] = defaultdict(list)
     names = [i for i, _ in rows]  # a repeated item_id may stand for several texts
-    for item, t1, p1, t2, p2 in seeds([(k, ws) for k, (_, ws) in enumerate(rows)], vocabulary, frequencies(index), n):
-        pairs[t1, t2, p2 - p1].append((item, p1))
-    places = {k: np.array([vocabulary[w] for w in ws], dtype=np.int32) for k, (_, ws) in enumerate(rows) if len(ws) >= n}
-    shared = spark.sparkContext.broadcast((dict(pairs), places))  # of the size of the evaluation set
+    seed = seeds([(k, ws) for k, (_, ws) in enumerate(rows)], vocabulary, frequencies(index, vocabulary), n, near)
+    places = {k: np.array([vocabulary[w] for w in ws], dtype=np.int64) for k, (_, ws) in enumerate(rows) if len(ws) >= n}
+    shared = spark.sparkContext.broadcast((seed, places, vocabulary))  # of the size of the pass
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        p, w = shared.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                block = {c: batch.column(i)[r].values.to_numpy(zero_copy_only=False) for i, c in enumerate(batch.schema.names)}
-                found = [(names[k], *rest) for k, *rest in _search(block, p, w, n, near)]
+                block = {c: batch.column(i)[r].values for i, c in enumerate(batch.schema.names)}
+                block = {c: v.to_pylist() if c == "terms" else v.to_numpy(zero_copy_only=False) for c, v in block.items()}
+                found = [(names[k], *rest) for k, *rest in _search(block, *shared.value, n, near, slack)]
                 if found:
                     yield pa.RecordBatch.from_pandas(pd.DataFrame(found, columns=["item_id", "doc_id", "kind", "words", "doc_start"]).astype({"words": "int32", "doc_start": "int32"}), preserve_index=False)
 
@@ -209,5 +258,16 @@ def matches(docs: DataFrame, items: DataFrame, n: int = MIN_WORDS, near: int = N
     return best.select("item_id", "doc_id", F.when(F.col("b.exact"), "phrase").otherwise("proximity").alias("kind"), "b.words", (-F.col("b.s")).alias("doc_start"))
 
 
+def matches(docs: DataFrame, items: DataFrame, n: int = MIN_WORDS, near: int | None = NEAR_WORDS, slack: int = SLACK) -> DataFrame:
+    """(item_id, doc_id, kind, words, doc_start): the best match per item and document.
+
+    kind 'phrase': at least n consecutive words; words is the length of the run. kind 'proximity': no such run, but
+    at least ``near`` words of a window of n in order, with at most one place where up to ``slack`` words are put in or
+    left out; words is their number. An item or text of fewer than n words matches nothing; a repeated doc_id gives one
+    row per item; null texts and ids match nothing. Extra columns are ignored.
+    """
+    return search(build_index(docs), items, n, near, slack)
+
+
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    return matches(docs, items).filter("kind = 'phrase'").select("item_id", "doc_id")
+    return matches(docs, items, near=None).select("item_id", "doc_id")

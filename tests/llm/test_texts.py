@@ -82,7 +82,7 @@ def test_leaks_against_brute_force(spark, monkeypatch):
     it = spark.createDataFrame([(i, "x", t) for i, t in items], "item_id bigint, topic string, text string")
     got = [tuple(r) for r in leakage.leaks(docs(spark, rows), it).collect()]
     assert want and set(got) == want and len(got) == len(set(got))
-    monkeypatch.setattr(leakage, "PASS_ITEMS", 9)
+    monkeypatch.setattr(leakage, "PASS_CHARS", 200)
     assert {tuple(r) for r in leakage.leaks(docs(spark, rows), it).collect()} == want
     assert leakage.leaks(docs(spark, []), it).count() == 0 and leakage.leaks(docs(spark, rows), it.limit(0)).count() == 0
 
@@ -96,6 +96,50 @@ def test_proximity_and_places(spark):
     assert (got[2].kind, got[2].words) == ("proximity", 11)
 
 
+def nearest(item, text, n, slack):
+    """Most words of a window of n of the item in order in the text, with one shift; all places and shifts are tried."""
+    best = 0
+    at = lambda p, w: 0 <= p < len(text) and text[p] == w
+    for i in range(len(item) - n + 1):
+        w = item[i : i + n]
+        for p in range(-n, len(text)):
+            on = [[at(p + d + k, w[k]) for k in range(n)] for d in range(-slack, slack + 1)]
+            best = max(best, sum(on[slack]))
+            for d in range(-slack, slack + 1):
+                for k in range(1, n):
+                    best = max(best, sum(on[slack][:k]) + sum(on[slack + d][k + max(0, -d) :]))
+    return best
+
+
+def test_proximity_against_brute_force(spark):
+    rnd = random.Random(11)
+    vocab = [f"v{i}" for i in range(60)]
+    items = [(i, [rnd.choice(vocab) for _ in range(rnd.choice([12, 20]))]) for i in range(6)]
+    rows = []
+    for k in range(40):
+        w = list(rnd.choice(items)[1])
+        for _ in range(rnd.choice([0, 1, 2, 3, 4])):
+            w[rnd.randrange(len(w))] = rnd.choice(["gone", rnd.choice(vocab)])
+        if k % 3:
+            at = rnd.randrange(1, len(w) - 1)
+            w[at : at + (k % 2) * rnd.choice([1, 2])] = ["in"] * ((k + 1) % 2 * rnd.choice([1, 2, 3]))
+        rows.append((k, [rnd.choice(vocab) for _ in range(k % 4)] + w + ["end"] * (k % 3)))
+    it = spark.createDataFrame([(i, "t", " ".join(w)) for i, w in items], "item_id bigint, topic string, text string")
+    want = {(i, d) for i, w in items for d, t in rows if nearest(w, t, 12, 2) >= 9}
+    got = {(r.item_id, r.doc_id) for r in leakage.matches(docs(spark, [(d, " ".join(t)) for d, t in rows]), it).collect()}
+    assert len(want) > 15 and got == want
+    # Each text alone gets the same answer: words that only other texts hold decide nothing.
+    for d, t in rows[:4]:
+        assert {(r.item_id, r.doc_id) for r in leakage.matches(docs(spark, [(d, " ".join(t))]), it).collect()} == {x for x in want if x[1] == d}
+
+
+def test_a_stored_index_serves_other_sets(spark):
+    index = leakage.build_index(docs(spark, [(1, "one two three four five six seven eight nine ten eleven twelve"), (2, None)]))
+    for n, text in enumerate(["two three four", "nothing of it here", "TEN, eleven; twelve"]):
+        it = spark.createDataFrame([(n, "t", text)], "item_id bigint, topic string, text string")
+        assert [r.doc_id for r in leakage.search(index, it, n=3, near=None).collect()] == ([1] if n != 1 else [])
+
+
 # --- 10 ------------------------------------------------------------------------------------------
 
 PLAIN = ["Put the pump by the gate.", "The lid is hot.", "Do not run.", "Ask the boss first.", "Is the tank full?"]
