@@ -12,11 +12,10 @@ matches (most words of a window in order, a few words put in or left out at one
 
 from __future__ import annotations
 
+import heapq
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -111,29 +110,25 @@ def frequencies(index: DataFrame, vocabulary: dict[bytes, int]) -> np.ndarray:
 
 
 def seeds(rows: list[tuple[int, list[bytes]]], vocabulary: dict[bytes, int], df: np.ndarray, n: int, near: int | None) -> np.ndarray:
-    """Rows (rarer term, other term, gap, item, place of the first), each once, of every window of n words.
+    """Rows (item, term, place), each once, in order of items: the rarest words of every window of n words.
 
-    A phrase needs the two rarest words of its window. A window of which n - near words are missing in a text still has
-    two of its 2 + n - near rarest words there, so for proximity all pairs of these are taken. A word that the corpus
+    A phrase has the two rarest words of its window in place. A window of which n - near words are missing in a text
+    still has two of its 2 + n - near rarest words there, so for proximity that many are taken. A word that the corpus
     does not hold counts as missing beforehand, so the answer for a text depends on no other text.
     """
-    out: set[tuple[int, int, int, int, int]] = set()
+    out: set[tuple[int, int, int]] = set()
     for item, ws in rows:
-        t = [vocabulary[w] for w in ws]
-        rank = [(int(df[x]), x, i) for i, x in enumerate(t)]
-        for s in range(len(t) - n + 1):
+        rank = [(int(df[vocabulary[w]]), vocabulary[w], i) for i, w in enumerate(ws)]
+        for s in range(len(rank) - n + 1):
             held = [r for r in rank[s : s + n] if r[0]]
-            absent = n - len(held)
-            missing = 0 if near is None else n - near - absent
-            if missing < 0 or (near is None and absent):
-                continue
-            for a, b in combinations(sorted(held)[: 2 + missing], 2):
-                out.add((a[1], b[1], b[2] - a[2], item, a[2]))
-    return np.array(sorted(out), dtype=np.int64).reshape(-1, 5)
+            missing = (0 if near is None else n - near) - (n - len(held))
+            if missing >= 0:
+                out.update((item, t, i) for _, t, i in heapq.nsmallest(2 + missing, held))
+    return np.array(sorted(out), dtype=np.int64).reshape(-1, 3)
 
 
-#: Characters of evaluation texts of one pass; larger sets search the stored index in several passes.
-PASS_CHARS = 20_000_000
+#: Characters of evaluation texts of one pass; larger sets search the stored index in several passes. Postings merged at a time.
+PASS_CHARS, MERGED = 20_000_000, 4_000_000
 RESULT = "item_id bigint, doc_id bigint, kind string, words int, doc_start int"
 
 
@@ -171,56 +166,76 @@ def _in_order(hit: np.ndarray, n: int, slack: int) -> tuple[np.ndarray, np.ndarr
     return best.max(axis=1), best.argmax(axis=1)
 
 
+def _lines(seed: np.ndarray, row_of: np.ndarray, starts: np.ndarray, key: np.ndarray, slack: int) -> list[tuple[int, np.ndarray]]:
+    """(item, places where its first word would be) on which two of its seeds meet, up to ``slack`` words apart.
+
+    The posting lists of an item's seeds are shifted by their places and merged; neighbours in the merged list meet.
+    """
+    row = row_of[seed[:, 1]]
+    n = starts[row + 1] - starts[row]
+    first = np.flatnonzero(np.r_[True, seed[1:, 0] != seed[:-1, 0]]) if len(seed) else np.zeros(0, np.int64)
+    out, lo = [], 0
+    size = np.add.reduceat(n, first) if len(seed) else n
+    while lo < len(first):  # whole items, MERGED postings or one item at a time
+        hi = lo + max(1, int(np.searchsorted(np.cumsum(size[lo:]), MERGED, side="right")))
+        part = slice(first[lo], first[hi] if hi < len(first) else len(seed))
+        m = n[part]
+        at = np.repeat(starts[row[part]] - np.r_[0, np.cumsum(m)[:-1]], m) + np.arange(m.sum())
+        line, item = key[at] - np.repeat(seed[part, 2], m), np.repeat(seed[part, 0], m)
+        order = np.lexsort((line, item))
+        line, item = line[order], item[order]
+        meet = (item[1:] == item[:-1]) & (line[1:] - line[:-1] <= slack)
+        both = np.r_[meet, False] | np.r_[False, meet]
+        line, item = line[both], item[both]
+        fresh = np.r_[True, (line[1:] != line[:-1]) | (item[1:] != item[:-1])] if len(line) else both[:0]
+        line, item = line[fresh], item[fresh]
+        cut = np.flatnonzero(np.r_[True, item[1:] != item[:-1]]) if len(item) else []
+        out += [(int(item[i]), line[i:j]) for i, j in zip(cut, [*cut[1:], len(item)])]
+        lo = hi
+    return out
+
+
 def _search(block: dict, seed: np.ndarray, places: dict[int, np.ndarray], vocabulary: dict[bytes, int], n: int, near: int | None, slack: int) -> list[tuple]:
-    known = np.array([vocabulary.get(t, -1) for t in block["terms"]], dtype=np.int64)
+    known = np.array([vocabulary.get(t, -1) for t in block["terms"]], dtype=np.int32)
     if not (known >= 0).any():
         return []
-    starts = block["starts"]
-    key = (block["doc"].astype(np.int64) << 32) + block["pos"]
+    starts = block["starts"].astype(np.int64)
+    # All texts of the block in a row, with so much room between them that no window reaches from one to the next.
+    room = n + slack
+    length = np.bincount(block["doc"], minlength=len(block["docs"]))
+    base = np.cumsum(length + room) - length
+    key = base[block["doc"]] + block["pos"]
+    wide = max((len(x) for x in places.values()), default=0) + room
+    row = np.full(int(base[-1] + length[-1]) + 2 * wide, -1, np.int32)
+    row[key + wide] = np.repeat(known, np.diff(starts))
     row_of = np.full(len(vocabulary), -1, np.int64)  # where a word's postings are in this block
     row_of[known[known >= 0]] = np.flatnonzero(known >= 0)
-    # Only seeds of which the block holds both words are looked at.
-    live = seed[(row_of[seed[:, 0]] >= 0) & (row_of[seed[:, 1]] >= 0)]
-    lines: dict[int, list[np.ndarray]] = defaultdict(list)
-    cut = np.flatnonzero(np.r_[True, (live[1:, :3] != live[:-1, :3]).any(axis=1)]) if len(live) else []
-    for lo, hi in zip(cut, [*cut[1:], len(live)]):
-        t1, t2, gap = live[lo, :3]
-        a, b = (key[starts[row_of[t]] : starts[row_of[t] + 1]] for t in (t1, t2))
-        for shift in range(-slack, slack + 1) if near else (0,):
-            k = np.searchsorted(b, a + gap + shift)
-            k[k == len(b)] = 0
-            met = a[b[k] == a + gap + shift]
-            if len(met):
-                for item, p1 in live[lo:hi, 3:]:
-                    lines[int(item)].append(met - p1)  # where the item's first word would be
-    if not lines:
-        return []
-    order = np.argsort(key, kind="stable")
-    at, term_at = key[order], np.repeat(known, np.diff(starts))[order]
     docs, out = block["docs"], []
-    for item, found in lines.items():
+    for item, start in _lines(seed[row_of[seed[:, 1]] >= 0], row_of, starts, key, slack if near else 0):
         want = places[item]
-        start = np.unique(np.concatenate(found))
-        step = max(1, 100_000 // max(1, len(want)))
+        step = max(1, 100_000 // len(want))
+        along = np.arange(len(want)) + wide
         for lo in range(0, len(start), step):
             s = start[lo : lo + step]
-
-            def held(shift: int, s: np.ndarray = s) -> np.ndarray:
-                look = s[:, None] + shift + np.arange(len(want))
-                k = np.minimum(np.searchsorted(at, look), len(at) - 1)
-                return (at[k] == look) & (term_at[k] == want)
-
-            hit = held(0)
-            best, end = _longest(hit)
+            look = s[:, None] + along
+            hit = row[look] == want
+            shifts = [hit if not d else row[look + d] == want for d in (range(-slack, slack + 1) if near else (0,))]
+            # Words in place on any shift bound the words in order from above.
+            some = np.zeros((len(s), len(want) + 1), np.int32)
+            np.cumsum(np.logical_or.reduce(shifts) if near else hit, axis=1, out=some[:, 1:])
+            good = np.flatnonzero((some[:, n:] - some[:, :-n]).max(axis=1) >= (near or n))
+            if not len(good):
+                continue
+            best, end = _longest(hit[good])
             exact = best >= n
             most, where = best.copy(), end - best
-            rest = np.flatnonzero(~exact)
-            if near and len(rest):
-                most[rest], where[rest] = _in_order(np.stack([held(d)[rest] if d else hit[rest] for d in range(-slack, slack + 1)], axis=1), n, slack)
-            for r in np.flatnonzero(exact | (most >= near) if near else exact):
-                # a line may begin before its text: rounding gives the document, and the place is 0 at least
-                doc = (int(s[r]) + (1 << 31)) >> 32
-                out.append((item, int(docs[doc]), "phrase" if exact[r] else "proximity", int(most[r]), max(0, int(s[r]) + int(where[r]) - (doc << 32))))
+            if near and not exact.all():
+                rest = ~exact
+                most[rest], where[rest] = _in_order(np.stack([x[good[rest]] for x in shifts], axis=1), n, slack)
+            for r in np.flatnonzero(exact | (most >= (near or n))):
+                first = int(s[good[r]]) + int(where[r])
+                doc = int(np.searchsorted(base - room, first, side="right")) - 1  # a window may begin in the room before its text
+                out.append((item, int(docs[doc]), "phrase" if exact[r] else "proximity", int(most[r]), max(0, first - int(base[doc]))))
     return out
 
 
