@@ -1,14 +1,17 @@
 """Free-entered values mapped to a canonical list (problem 6).
 
 Values are normalised and deduplicated over all sources; candidates come from an
-inverted index of character 2- and 3-grams over the list's names and their usual
-short forms; the score is the cosine of tf-idf weighted grams. A value is accepted
-above a threshold and with a margin over the best other term, after a check by edit
-distance for short or misspelt values. All steps are joins and aggregates of distinct values.
+inverted index of character 2- and 3-grams over the list's names and a table of
+synonyms; the score is the cosine of tf-idf weighted grams. Only a value's rarest grams are
+looked up: those left out cannot lift a phrase that shares nothing else to the least score,
+so no phrase is lost and common grams bring no candidates. A value is accepted above a
+threshold and with a margin over the best other term, after a check by edit distance for
+short or misspelt values. All steps are joins and aggregates of distinct values.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -80,38 +83,54 @@ def grams(nv: Column) -> Column:
     return F.flatten(F.transform(F.filter(F.split(nv, " "), lambda t: t != ""), of))
 
 
-def entries(terms: DataFrame) -> DataFrame:
-    """(term_id, generic, phrase, sorted): every name and short form of the list."""
-    known = F.create_map(*[F.lit(x) for kv in SHORT_FORMS.items() for x in kv])
-    rows = terms.select("term_id", F.lower("term").contains("kind not stated").alias("generic"), F.concat_ws("|", F.split("term", ",")[0], known[F.col("term")]).alias("p"))
-    return rows.select("term_id", "generic", F.explode(F.split("p", r"\|")).alias("p")).select("term_id", "generic", normalise(F.col("p")).alias("phrase")).distinct()
+def usual_forms(terms: DataFrame) -> DataFrame:
+    """(term, phrase): the short forms and synonyms above as a table, the default of `assign`."""
+    rows = [(t, p) for t, forms in SHORT_FORMS.items() for p in forms.split("|")]
+    return terms.sparkSession.createDataFrame(rows, "term string, phrase string")
 
 
-def assign(values: DataFrame, terms: DataFrame, value: str = "value") -> DataFrame:
+def entries(terms: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """(term_id, generic, phrase): every name of the list, up to its first comma, and every synonym."""
+    named = terms.select("term_id", "term", F.lower("term").contains("kind not stated").alias("generic"))
+    own = named.select("term_id", "generic", F.split("term", ",")[0].alias("p"))
+    other = named.join(synonyms.select("term", F.col("phrase").alias("p")), "term").select("term_id", "generic", "p")
+    return own.unionByName(other).select("term_id", "generic", normalise(F.col("p")).alias("phrase")).filter("phrase <> ''").distinct()
+
+
+def assign(values: DataFrame, terms: DataFrame, value: str = "value", synonyms: DataFrame | None = None) -> DataFrame:
     """(nv, term_id, score, runner_up) for every distinct normalised value; term_id 0 where none is close enough.
 
-    The list's phrases are the index. Defined cases: null and blank values do not take part; ties between two terms
-    are no match; a value without letters or digits maps to 0; an empty list maps all to 0.
+    The list's phrases are the index. synonyms: (term, phrase), further names of the list's terms; by default those of
+    `usual_forms`. Defined cases: null and blank values do not take part; ties between two terms are no match; a value
+    without letters or digits maps to 0; an empty list maps all to 0; without synonyms the names alone count.
     """
-    distinct = materialise(values.select(normalise(F.col(value)).alias("nv")).distinct(), "values")
-    index = entries(terms)
-    posting = index.select("term_id", "generic", "phrase", F.explode(grams(F.col("phrase"))).alias("g")).groupBy("term_id", "generic", "phrase", "g").agg(F.count("*").alias("tf"))
-    total = index.count() + 1
-    idf = posting.groupBy("g").agg(F.log(F.lit(float(total)) / F.countDistinct("phrase")).alias("idf"))
+    distinct = materialise(values.select(normalise(F.col(value)).alias("nv")).filter("nv is not null").distinct(), "values")
+    index = materialise(entries(terms, usual_forms(terms) if synonyms is None else synonyms), "entries")
+    total = float(index.count() + 1)
+    count = lambda df, of: df.select("*", F.explode(grams(F.col(of))).alias("g")).groupBy(*df.columns, "g").agg(F.count("*").alias("tf"))
+    posting = count(index, "phrase")
+    idf = guarded_broadcast(materialise(posting.groupBy("g").agg(F.log(F.lit(total) / F.countDistinct("phrase")).alias("idf")), "idf"))
+    # A vector is a map from gram to weight; phrases have length 1.
+    vector = lambda df: F.map_from_entries(F.collect_list(F.struct("g", "w")))
     weighted = posting.join(idf, "g").withColumn("w", F.sqrt("tf") * F.col("idf"))
-    norm = weighted.groupBy("term_id", "phrase").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    postings = materialise(weighted.join(norm, ["term_id", "phrase"]).select("g", "term_id", "generic", "phrase", "idf", (F.col("w") / F.col("norm")).alias("w")), "postings")
-    postings = guarded_broadcast(postings)
-    idfs = guarded_broadcast(idf.select("g", "idf"))
-    rare = F.lit(float(total)).cast("double")
-    vg = distinct.select("nv", F.explode(grams(F.col("nv"))).alias("g")).groupBy("nv", "g").agg(F.count("*").alias("tf"))
-    vw = vg.join(idfs, "g", "left").withColumn("vw", F.sqrt("tf") * F.coalesce("idf", F.log(rare)))
-    norms = vw.groupBy("nv").agg(F.sqrt(F.sum(F.col("vw") * F.col("vw"))).alias("vnorm"))
-    hits = vw.drop("idf").join(postings, "g").groupBy("nv", "term_id", "generic", "phrase").agg(F.sum(F.col("vw") * F.col("w")).alias("dot"))
+    phrases = weighted.groupBy("term_id", "generic", "phrase").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), vector(weighted).alias("pv"))
+    phrases = materialise(phrases.select("term_id", "generic", "phrase", F.transform_values("pv", lambda _, w: w / F.col("norm")).alias("pv")), "phrases")
+    postings = guarded_broadcast(phrases.select(F.explode(F.map_keys("pv")).alias("g"), "term_id", "phrase"))
+    vw = count(distinct, "nv").join(idf, "g", "left").withColumn("w", F.sqrt("tf") * F.coalesce("idf", F.lit(math.log(total))))
+    vectors = materialise(vw.groupBy("nv").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("vnorm"), vector(vw).alias("vv")), "vectors")
+    # Grams from the lightest on whose weights together stay below the least score are not looked up.
+    light = F.array_sort(F.transform(F.map_entries("vv"), lambda e: F.struct(e["value"].alias("w"), e["key"].alias("g"))))
+    spare = F.pow(F.col("vnorm") * ACCEPT_NEAR, 2)
+    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<string>").alias("gs"))
+    step = lambda acc, e: F.struct((acc["sum"] + e["w"] * e["w"]).alias("sum"), F.when(acc["sum"] + e["w"] * e["w"] < spare, acc["gs"]).otherwise(F.concat(acc["gs"], F.array(e["g"]))).alias("gs"))
+    asked = vectors.select("nv", F.explode(F.aggregate(light, start, step, lambda acc: acc["gs"])).alias("g"))
+    candidates = asked.join(postings, "g").select("nv", "term_id", "phrase").distinct()
+    hits = candidates.join(vectors, "nv").join(guarded_broadcast(phrases), ["term_id", "phrase"])
+    dot = F.aggregate(F.map_entries("vv"), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at(F.col("pv"), e["key"]), F.lit(0.0)))
     packed = lambda c: F.array_join(F.array_sort(F.split(c, " ")), "")
     letters = lambda c: F.array_join(F.array_sort(F.split(packed(c), "")), "")
     length = F.length(packed(F.col("nv")))
-    scored = hits.join(norms, "nv").withColumn("cos", F.col("dot") / F.col("vnorm"))
+    scored = hits.select("nv", "term_id", "generic", "phrase", (dot / F.col("vnorm")).alias("cos"))
     edits = F.least(F.levenshtein(packed(F.col("nv")), packed(F.col("phrase"))), F.levenshtein("nv", "phrase"))
     # Two letters swapped are one slip.
     scored = scored.withColumn("edits", F.when((edits == 2) & (letters(F.col("nv")) == letters(F.col("phrase"))), 1).otherwise(edits))

@@ -4,7 +4,8 @@ Tokens are counted once per text with a public byte-level BPE. Only (doc_id, tok
 moves on: bounded shards are filled best-fit decreasing, then improved by a swap-based
 local search (move, one-for-one, two-for-one between underfull bins, each step raising the
 sum of squared fills) until bins empty. Bins that stay underfull are dissolved and packed
-again with those of other shards, until one shard holds them all.
+again with those of other shards, until one shard holds them all or a round closes hardly
+any bin, as where every document fills more than half a container.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ VOCABULARY = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_50k.tikt
 # Fixed value: the public split pattern that goes with the vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # End of fixed values.
-#: Items of one shard; fill from which a bin is closed before the last round; rounds; steps of the search per underfull bin.
-SHARD_ITEMS, CLOSE_AT, ROUNDS, STEPS = 40_000, 0.985, 4, 6
+#: Items of one shard; fill from which a bin is closed before the last round; steps of the search per underfull bin.
+SHARD_ITEMS, CLOSE_AT, STEPS = 40_000, 0.985, 6
+#: Share of the items that a round must place for another one to follow; below it bins are closed as they are.
+PROGRESS = 0.05
 
 
 @lru_cache(2)
@@ -169,24 +172,22 @@ def pack(tokens: DataFrame, limits: list[tuple[int, int]]) -> DataFrame:
     cut = each.filter("tokens > capacity").select("limit_id", "capacity", "doc_id", F.explode(F.sequence(F.lit(0), full - 1)).alias("piece"), F.col("capacity").alias("tokens"))
     done = cut.withColumn("container", F.concat_ws("-", "limit_id", F.lit("full"), "doc_id", "piece"))
     rest = each.select("limit_id", "capacity", "doc_id", F.when(F.col("tokens") > F.col("capacity"), full).otherwise(0).alias("piece"), (F.col("tokens") - full * F.col("capacity")).cast("int").alias("tokens"))
-    n, parts = base.count(), []
-    for round_ in range(ROUNDS):
+    n, before, parts, round_ = base.count(), None, [], 0
+    while n:
         shards = max(1, math.ceil(n / SHARD_ITEMS))
-        last = shards == 1 or round_ == ROUNDS - 1
+        last = shards == 1 or (before is not None and n > before * (1 - PROGRESS))
         placed = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.lit(round_)), F.lit(shards)).cast("int"))
         placed = materialise(placed.groupBy("limit_id", "shard").applyInPandas(_packer(last, round_), ITEMS + ", container string"), "packed")
         parts.append(placed.filter(F.col("container").isNotNull()))
         if last:
             break
         rest = placed.filter(F.col("container").isNull()).drop("container")
-        n = rest.groupBy("limit_id").count().agg(F.max("count")).first()[0] or 0
-        if not n:
-            break
+        n, before, round_ = rest.groupBy("limit_id").count().agg(F.max("count")).first()[0] or 0, n, round_ + 1
     for p in parts:
         done = done.unionByName(p)
     return done
 
 
 def token_limits(size_limits: DataFrame) -> list[tuple[int, int]]:
-    rows = size_limits.filter("unit = 'tokens'").orderBy("limit_id").limit(1000).collect()
+    rows = size_limits.filter("unit = 'tokens'").orderBy("limit_id").select("limit_id", "capacity").toLocalIterator()
     return [(int(r["limit_id"]), int(r["capacity"])) for r in rows]

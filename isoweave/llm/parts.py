@@ -24,6 +24,7 @@ WORDS = {
     "raised": "raised", "face": "face", "butt": "butt", "flanged": "flanged flgd", "screwed": "screwed scrd", "spiral": "spiral", "wound": "wound", "welded": "welded",
     "single": "single", "joint": "joint jt", "orifice": "orifice", "flow": "flow", "temperature": "temperature", "pressure": "pressure", "spring": "spring", "hose": "hose",
     "holes": "holes", "bolt": "bolt", "ends": "ends", "bevelled": "bevelled", "swage": "swage", "graphite": "graphite graph fg", "mica": "mica", "ptfe": "ptfe", "outer": "outer", "inner": "inner",
+    "stud": "stud studbolt", "plate": "plate", "anchor": "anchor", "trunnion": "trunnion",
 }
 #: Steel families of material grades: carbon, low temperature, stainless.
 GRADES = {
@@ -84,7 +85,8 @@ def words(text: str) -> tuple[str, ...]:
 
 
 VALVES = ("gate", "ball", "globe", "check", "butterfly", "plug", "needle", "diaphragm", "control", "relief", "safety")
-OTHERS = ("shoe", "support", "hanger", "guide", "clamp", "gauge", "element", "thermowell", "expansion", "bellows", "adapter", "swivel")
+#: Components that are neither fitting, flange nor valve, the more telling word first.
+OTHERS = ("expansion", "bellows", "shoe", "hanger", "guide", "clamp", "anchor", "trunnion", "gauge", "element", "thermowell", "adapter", "swivel", "support")
 
 
 @lru_cache(200_000)
@@ -104,15 +106,17 @@ def kind(text: str | None) -> str:
         if w not in WORDS and len(w) >= 3 and w.isalpha():
             for r in readings(w):
                 k = _kind((*ws[:i], r, *ws[i + 1 :]))
-                if k and "?" not in k and k != "other":
+                if k and "?" not in k and k.split(" ")[0] not in OTHERS:
                     return k
     return found
 
 
 def _kind(ws: tuple[str, ...]) -> str:
     has = set(ws)
-    if has & set(OTHERS):
-        return "other"
+    if other := next((o for o in OTHERS if o in has), None):
+        if other == "gauge":
+            return f"gauge {next((w for w in ws if w in ('pressure', 'temperature', 'flow')), '?')}"
+        return "expansion" if other == "bellows" else other
     if "spectacle" in has or ("figure" in has and "8" in has):
         return "spectacle blind"
     first = next((w for w in ws if w in VALVES), "check" if "return" in has else None)
@@ -147,6 +151,8 @@ def _kind(ws: tuple[str, ...]) -> str:
     if "flange" in has:
         if "blind" in has:
             return "flange blind"
+        if "orifice" in has:
+            return "flange orifice"
         if "wn" in has or "neck" in has:
             return "flange neck"
         return f"flange {'slip' if 'so' in has or 'slip' in has else 'lap' if 'lap' in has else 'socket' if 'socket' in has else '?'}"
@@ -154,7 +160,11 @@ def _kind(ws: tuple[str, ...]) -> str:
         return "valve ?"
     if "blind" in has:
         return "flange blind"
-    return "pipe" if "pipe" in has else ""
+    if "orifice" in has and "plate" in has:
+        return "orifice plate"
+    if "pipe" in has:
+        return "pipe"
+    return "stud bolt" if "bolt" in has else ""
 
 
 _NUM = r"\d+\s*\.\s*\d+\s*/\s*\d+|\d\s+\d+/\d+|\d-\d+/\d+|\d+/\d+|\d+\.\d+|\d+"
@@ -241,17 +251,6 @@ def material(column: str | None, text: str | None, of: str) -> str:
     return ""
 
 
-@lru_cache(50_000)
-def spec_class(code: str | None, fallback: str | None, segment: int, sep: str) -> str:
-    """First five letters and digits of a class code; of a part of the fallback where the code is missing or a placeholder."""
-    c = re.sub(r"[^A-Z0-9]", "", (code or "").upper())
-    if len(c) >= 5:
-        return c[:5]
-    parts = (fallback or "").upper().split(sep)
-    c = re.sub(r"[^A-Z0-9]", "", parts[segment]) if len(parts) > segment else ""
-    return c[:5] if len(c) >= 5 else ""
-
-
 def rating(text: str | None) -> str:
     m = re.search(r"\b(?:cl|class)\s*(\d{3,4})\b|\b(\d{3,4})\s*(?:#|lb)", (text or "").lower())
     return (m[1] or m[2]) if m else ""

@@ -22,6 +22,11 @@ def p3_links(spark: SparkSession, d: str) -> DataFrame:
     return _links(spark, d).pairs.select("item_id", "bom_id", F.round("confidence", 4).alias("confidence"))
 
 
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each pair of descriptions that match, with the rows of either side that have it."""
+    return _links(spark, d).classes.withColumn("confidence", F.round("confidence", 4))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return collapse.tag_copies(table(spark, d, "extracted_tags"))
 
@@ -93,7 +98,7 @@ def p10_levels(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p3_found, p3_links, p4_found, p4_collapsed, p5_found, p5_pieces, p6_found, p6_unmatched, p8_found, p8_packed, p9_found, p9_matches, p10_found, p10_levels)
+    for f in (p3_found, p3_links, p3_classes, p4_found, p4_collapsed, p5_found, p5_pieces, p6_found, p6_unmatched, p8_found, p8_packed, p9_found, p9_matches, p10_found, p10_levels)
 }
 # p5_found in SQL: lengths of texts and of joined pages.
 _P5 = """

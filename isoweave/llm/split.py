@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..runtime import materialise
 from ..sources.pages import located_sheets
 
 #: Characters of a segment, parts of a bucket in the running sums, share of a piece within which a target may move.
@@ -168,7 +169,8 @@ def sheet_pieces(results: DataFrame, pages: DataFrame, limit: Limit) -> DataFram
     valid = pages.filter("document_id is not null and page_number is not null").groupBy("document_id", "page_number").agg(F.max(F.struct("id", F.coalesce(F.length("page_text"), F.lit(0)).alias("len"))).alias("p"))
     sheets = located_sheets(results)
     on: Column = (sheets["document_id"] == valid["document_id"]) & F.col("page_number").between(F.col("first"), F.col("last"))
-    lens = sheets.join(valid, on).select(F.lit("sheet").alias("item_kind"), "owner_id", "sheet_pos", "page_number", F.col("p.id").alias("page_id"), F.col("p.len").alias("len"))
+    # Ids and lengths only; stored, as the totals, the running sums and the places all read them.
+    lens = materialise(sheets.join(valid, on).select(F.lit("sheet").alias("item_kind"), "owner_id", "sheet_pos", "page_number", F.col("p.id").alias("page_id"), F.col("p.len").alias("len")), "page-lengths")
     over = lens.groupBy(*item).agg(F.sum("len").alias("total")).filter(F.col("total") > limit.capacity).select(*item)
     placed = offsets(lens.join(over, item), item, "page_number")
     parts = placed.join(pages.select(F.col("id").alias("page_id"), F.coalesce("page_text", F.lit("")).alias("text")), "page_id").select(*item, "offset", "text")
@@ -177,7 +179,7 @@ def sheet_pieces(results: DataFrame, pages: DataFrame, limit: Limit) -> DataFram
 
 def limits(size_limits: DataFrame) -> dict[str, Limit]:
     """Character limits by what they apply to. The table holds one row per kind of item."""
-    rows = size_limits.filter("unit = 'characters'").limit(1000).collect()
+    rows = size_limits.filter("unit = 'characters'").orderBy("limit_id").select("applies_to", "capacity", "overlap").toLocalIterator()
     return {r["applies_to"]: Limit(r["capacity"], r["overlap"] or 0) for r in rows}
 
 

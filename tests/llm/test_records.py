@@ -57,7 +57,7 @@ def test_copies_with_hot_group_and_cut_runs(spark):
     [
         ("ELBOW 90 DEG LR BW", "elbow 90 long"), ("45deg elbow bw", "elbow 45 long"), ("ELBO 90° S.R. BW", "elbow 90 short"), ("Elow long rad 90deg", "elbow 90 long"), ("gate valve, ball type handle", "valve gate"),
         ("FLG, BLIND, 300LB W/ BOLT HOLES", "flange blind"), ("fig. 8 blind 150lb", "spectacle blind"), ("OLET, SOCKET TYPE", "olet sockolet"), ("weld-o-let, bw", "olet weldolet"), ("Tee (reduced)", "tee reducing"), ("redu conc", "reducer concentric"),
-        ("non-rteurn valve 150lb swing", "valve check"), ("PIPE SHOE 100 HIGH", "other"), ("pipe cap butt weld", "cap"), ("", ""), (None, ""), ("x" * 10_000, ""),
+        ("non-rteurn valve 150lb swing", "valve check"), ("PIPE SHOE 100 HIGH", "shoe"), ("TEMPERATURE GAUGE W/ THERMOWELL", "gauge temperature"), ("PRESSURE GAUGE 0-10", "gauge pressure"), ("THERMOWELL FLGD", "thermowell"), ("EXP. JT UNTIED", "expansion"), ("EXPANSION JOINT, SINGLE BELLOWS", "expansion"), ("STUD BOLT W/ 2 NUTS M16", "stud bolt"), ("FLANGE ORIFICE WN 300#", "flange orifice"), ("U-BOLT CLAMP M12", "clamp"), ("PIPE STD", "pipe"), ("pipe cap butt weld", "cap"), ("", ""), (None, ""), ("x" * 10_000, ""),
     ],
 )
 def test_kinds(text, want):
@@ -99,9 +99,41 @@ def test_links(spark):
     assert linkage.link(items.limit(0), bom).pairs.count() == 0 and linkage.link(items, bom.limit(0)).pairs.count() == 0
 
 
+def test_both_passes_give_matches_and_the_posterior_decides(spark):
+    """A bill row whose description tells no kind matches by class, sizes, material and type code, through the pass by size."""
+    rnd = random.Random(8)
+    kinds = {"ELBO": "ELBOW 90 DEG LR BW", "TEE": "TEE EQUAL BW", "CAP": "CAP BW", "GATE": "GATE VALVE FLGD", "REDU": "REDUCER CONC BW", "FLG": "FLANGE WN RF"}
+    mats, sizes = ["ASTM A234 GR.WPB", "A420 WPL6", "A403 WP316L"], ["15", "25", "40", "50", "80", "100", "150", "200", "250", "300"]
+    classes = {f"AC{n:02}N": [(t, m, z) for t in kinds for m in rnd.sample(mats, 2) for z in rnd.sample(sizes, 3)] for n in range(12)}
+    draw = lambda: (c := rnd.choice([*classes]), *rnd.choice(classes[c]))
+    items = [(i, c, "", t, kinds[t], m, z, "", "", "") for i, (c, t, m, z) in enumerate(draw() for _ in range(900))]
+    bills = [(1000 + i, c, "", t if rnd.random() < 0.9 else "item", kinds[t] if i % 20 else "AS PER SKETCH", m if rnd.random() < 0.8 else None, z, "") for i, (c, t, m, z) in enumerate(draw() for _ in range(900))]
+    links = linkage.link(spark.createDataFrame(items, ITEM), spark.createDataFrame(bills, BOM))
+    got = {(r.item_id, r.bom_id): r.confidence for r in links.pairs.collect()}
+    told, untold = set(), set()
+    for i in items:
+        for b in bills:
+            if i[1] == b[1] and i[6] == b[6] and b[5] == i[5]:
+                if b[4] == i[4]:
+                    told.add((i[0], b[0]))
+                elif b[4] not in kinds.values() and b[3] == i[3]:
+                    untold.add((i[0], b[0]))
+    # Here three materials leave a pair without one too doubtful, and so is a pair without a kind whose type code is none.
+    assert set(got) == told | untold and untold
+    assert len({round(c, 6) for c in got.values()}) >= 3 and min(got.values()) >= linkage.ACCEPT
+    assert links.classes.agg(F.sum(F.col("items") * F.col("bom_rows"))).first()[0] == len(got)
+
+
 # --- 5 -------------------------------------------------------------------------------------------
 
 
+def test_no_limit_is_dropped(spark):
+    rows = [(i, f"kind {i}", "characters", 100 + i, None) for i in range(1001)]
+    found = split.limits(spark.createDataFrame(rows, "limit_id int, applies_to string, unit string, capacity int, overlap int"))
+    assert len(found) == 1001 and found["kind 1000"].capacity == 1100
+
+
+
 def check(text, limit, pieces):
     assert pieces[0][0] == 0 and pieces[-1][1] == len(text)
     for (a, b), (c, _) in zip(pieces, pieces[1:]):
@@ -173,3 +205,6 @@ def test_canonical(spark):
     assert canonical.map_values(df, terms).count() == len(want) + 2
     assert canonical.map_values(df.limit(0), terms).count() == 0
     assert {r.term_id for r in canonical.map_values(df, terms.limit(0)).collect()} == {0}
+    own = spark.createDataFrame([("Sample cooler", "smpl clr"), ("Unknown term", "ell")], "term string, phrase string")
+    some = spark.createDataFrame([("SMPL CLR",), ("Ell",), ("Elbow",), ("sample coolers",)], "value string")
+    assert {r.nv: r.term_id for r in canonical.assign(some, terms, synonyms=own).collect()} == {"smpl clr": ids["Sample cooler"], "ell": 0, "elbow": ids["Elbow"], "sample coolers": ids["Sample cooler"]}
