@@ -38,7 +38,7 @@ def dn(v: Column) -> Column:
     value = F.when(g(2) != "", F.coalesce(g(1).try_cast("double"), F.lit(0.0)) + F.try_divide(g(2).try_cast("double"), g(3).try_cast("double"))).otherwise(number(first))
     inches = first.rlike("\"|inch|\\bin\\b|''") | (value <= INCH_LIMIT)
     listed = F.element_at(_map(NPS_TO_DN, "double", "int"), F.round(value, 2))
-    near = lambda x: F.floor(x + 0.5).cast("int")
+    near = lambda x: F.floor(x + 0.5).try_cast("int")
     return F.when(first == "", None).when(inches, F.coalesce(listed, near(value * 25.4))).otherwise(near(value))
 
 
@@ -50,7 +50,7 @@ def dn_label(d: Column) -> Column:
 
 def nps_of_dn(v: Column) -> Column:
     """Inches of a DN in mm; null where the list has none."""
-    return F.element_at(_map(DN_TO_NPS, "int", "double"), F.floor(trimmed(v).try_cast("double") + 0.5).cast("int"))
+    return F.element_at(_map(DN_TO_NPS, "int", "double"), F.floor(trimmed(v).try_cast("double") + 0.5).try_cast("int"))
 
 
 def nps_label(v: Column) -> Column:

@@ -180,22 +180,6 @@ def agg_richest_classes(spark, d):
     return class_rows(spark, d).select("class_code", "category", "pos", "size_min", "size_max", "material", "description")
 
 
-@query(f"""WITH {CLASS_ROWS_SQL}, b AS (SELECT id, {X.bom_class('spec_class')} AS class_code, {X.BOM_CATEGORY_SQL} AS category, {X.dn('size')} AS dn FROM bom_rows),
-j AS (SELECT b.*, (SELECT min(cr.pos) FROM cr WHERE cr.class_code = b.class_code AND cr.category = b.category AND {X.nps('cr.size_min')} <= b.dn + 1e-9 AND {X.nps('cr.size_max')} >= b.dn - 1e-9) AS pos,
-EXISTS (SELECT 1 FROM bs WHERE bs.class_code = b.class_code) AS known FROM b)
-SELECT id, pos, CASE WHEN category IS NULL THEN 'out_of_scope' WHEN NOT known THEN 'class_not_found' WHEN dn IS NULL THEN 'size_unrecognized' WHEN pos IS NULL THEN 'not_found' ELSE 'match' END AS verdict FROM j""")
-def check_bom_rows(spark, d):
-    """Verdict of every bill row against the class: the first row of its array whose DN range holds its size."""
-    c, t = F.col("component_type"), F.col("description")
-    left = table(spark, d, "bom_rows").select("id", T.bom_class(F.col("spec_class")).alias("class_code"), K.bom(c, t)["category"].alias("category"), S.dn(F.col("size")).cast("double").alias("dn"))
-    rows = class_rows(spark, d).select("class_code", "category", "pos", "size_min", "size_max")
-    hit = R.first_in_range(left, rows, ["class_code", "category"], "dn", "size_min", "size_max", "pos")
-    known = rows.select("class_code").distinct().withColumn("known", F.lit(True))
-    j = hit.join(known, "class_code", "left")
-    verdict = F.when(F.col("category").isNull(), "out_of_scope").when(F.col("known").isNull(), "class_not_found").when(F.col("dn").isNull(), "size_unrecognized").when(F.col("pos").isNull(), "not_found").otherwise("match")
-    return j.select("id", "pos", verdict.alias("verdict"))
-
-
 # --- aggregates -----------------------------------------------------------------------------------
 
 
@@ -269,14 +253,6 @@ def win_latest_results(spark, d):
     return R.latest(table(spark, d, "extraction_results").select("document_id", "id", "created_at"), ["document_id"], "created_at", "id").select("document_id", "id")
 
 
-@query(f"""WITH {CLASS_ROWS_SQL}, g AS (SELECT *, CASE WHEN row_number() OVER w > 1 AND material IS NOT DISTINCT FROM lag(material) OVER w AND description IS NOT DISTINCT FROM lag(description) OVER w THEN 0 ELSE 1 END AS nw FROM cr WINDOW w AS (PARTITION BY class_code, category ORDER BY pos)),
-i AS (SELECT *, sum(nw) OVER (PARTITION BY class_code, category ORDER BY pos) AS i FROM g)
-SELECT class_code, category, material, description, min(pos) AS first_pos, max(pos) AS last_pos, count(*) AS rows, arg_min(size_min, pos) AS size_min, arg_max(size_max, pos) AS size_max FROM i GROUP BY class_code, category, material, description, i""")
-def win_bands(spark, d):
-    """Adjacent class rows of equal material and description as one band."""
-    return R.bands(class_rows(spark, d).drop("id"), ["class_code", "category"], "pos", ["material", "description"])
-
-
 @query(f"""WITH {CLASS_ROWS_SQL}, n AS (SELECT *, {X.nps('size_min')} AS lo, {X.nps('size_max')} AS hi FROM cr)
 SELECT class_code, category, pos FROM (SELECT *, lag(hi) OVER (PARTITION BY class_code, category, description, material ORDER BY lo, hi, pos) AS b FROM n WHERE lo IS NOT NULL AND hi IS NOT NULL) WHERE lo <= b + 1e-9 AND category <> 'valves'""")
 def win_overlaps(spark, d):
@@ -318,7 +294,7 @@ EXCEPT SELECT document_id, {key('tag_number')} FROM extracted_tags WHERE tag_typ
 def set_spools_unknown(spark, d):
     """Spools that welds name, as written, and the document does not list."""
     cited = tags(spark, d, "weld", fields=["spool_no"]).filter(~T.blank(F.col("spool_no"))).select("document_id", T.tag_key(F.col("spool_no")).alias("k"))
-    return cited.exceptAll(cited.limit(0)).distinct().subtract(tags(spark, d, "spool").select("document_id", T.tag_key(F.col("tag_number"))))
+    return cited.subtract(tags(spark, d, "spool").select("document_id", T.tag_key(F.col("tag_number"))))
 
 
 @query(f"SELECT DISTINCT c FROM (SELECT {X.bom_class('spec_class')} AS c FROM bom_rows UNION SELECT {X.bom_class('spec_code')} FROM sheet_items) WHERE c IS NOT NULL")

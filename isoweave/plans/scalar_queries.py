@@ -87,7 +87,7 @@ def dn(v: str) -> str:
     g = lambda i: f"TRY_CAST(nullif(regexp_extract({first}, {q(frac)}, {i}), '') AS DOUBLE)"
     value = f"(CASE WHEN regexp_matches({first}, {q(frac)}) THEN coalesce({g(1)}, 0) + {g(2)} / {g(3)} ELSE {num(first)} END)"
     inches = f"(regexp_matches({first}, '\"|inch|\\bin\\b|''''') OR {value} <= {S.INCH_LIMIT})"
-    return f"(CASE WHEN {first} = '' OR {value} IS NULL THEN NULL WHEN {inches} THEN coalesce({pick(S.NPS_TO_DN, f'round({value}, 2)', 'INTEGER')}, CAST(floor({value} * 25.4 + 0.5) AS INTEGER)) ELSE CAST(floor({value} + 0.5) AS INTEGER) END)"
+    return f"(CASE WHEN {first} = '' OR {value} IS NULL THEN NULL WHEN {inches} THEN coalesce({pick(S.NPS_TO_DN, f'round({value}, 2)', 'INTEGER')}, TRY_CAST(floor({value} * 25.4 + 0.5) AS INTEGER)) ELSE TRY_CAST(floor({value} + 0.5) AS INTEGER) END)"
 
 
 def bom_class(v: str) -> str:
