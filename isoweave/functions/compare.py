@@ -22,9 +22,13 @@ def prepared(df: DataFrame, a: str, b: str) -> DataFrame:
     rest = lambda t: or_null(F.regexp_replace(F.lower(F.regexp_extract(t, rf"^-?[\d.,]+{WS}*(.*)$", 1)), f"{WS}+", ""))
     out = out.withColumns({f"_n{s}": F.when(~F.col(f"_b{s}"), first(f"_t{s}")) for s in "ab"} | {f"_u{s}": rest(f"_t{s}") for s in "ab"})
     out = out.withColumns({"_none": F.col("_ba") | F.col("_bb"), "_same": F.lower("_ta") == F.lower("_tb")})
-    table = F.create_map(*[F.lit(x) for t, kind in ((TO_BAR, "p"), (TO_MM, "l")) for k, v in t.items() for x in (f"{kind}{k}", v)])
-    look = lambda kind, u: F.element_at(table, F.concat(F.lit(kind), u))
-    return out.withColumns({f"_{kind}{s}": look(kind, F.col(f"_u{s}")) for kind in ("p", "l") for s in ("a", "b")})
+    # Units are looked up in a constant table: maps and their conditions inlined per side outgrow generated code.
+    rows = [F.struct(F.lit(k).alias("u"), F.lit(kind).alias("kind"), F.lit(v).alias("f")) for t, kind in ((TO_BAR, "p"), (TO_MM, "l")) for k, v in t.items()]
+    units = df.sparkSession.range(1).select(F.inline(F.array(*rows)))
+    for s in "ab":
+        u = F.broadcast(units.select(F.col("u").alias(f"_k{s}"), F.col("kind").alias(f"_q{s}"), F.col("f").alias(f"_f{s}")))
+        out = out.join(u, F.col(f"_u{s}") == F.col(f"_k{s}"), "left").drop(f"_k{s}")
+    return out
 
 
 def common() -> Column:
@@ -32,10 +36,7 @@ def common() -> Column:
     pair = lambda x, y: F.struct(x.alias("a"), y.alias("b"))
     na, nb, ua, ub = (F.col(c) for c in ("_na", "_nb", "_ua", "_ub"))
     out = F.when(na.isNull() | nb.isNull(), None).when(ua.isNull() | ub.isNull() | (ua == ub), pair(na, nb))
-    for kind in ("p", "l"):
-        fa, fb = F.col(f"_{kind}a"), F.col(f"_{kind}b")
-        out = out.when(fa.isNotNull() & fb.isNotNull(), pair(na * fa, nb * fb))
-    return out
+    return out.when(F.col("_qa") == F.col("_qb"), pair(na * F.col("_fa"), nb * F.col("_fb")))
 
 
 def agree(a: Column, b: Column) -> Column:

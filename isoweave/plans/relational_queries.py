@@ -305,28 +305,6 @@ def set_classes(spark, d):
 
 # --- composites -----------------------------------------------------------------------------------
 
-_BASIS = [("1.size", "size", "size", True), ("2.design_pressure", "design_pressure", "design_pressure", True), ("2.design_temperature", "design_temperature", "design_temperature", True), ("2.operating_pressure", "operating_pressure", "operating_pressure", True), ("2.service", "service", "fluid_code", False), ("2.heat_trace", "heat_trace", "heat_trace", False)]
-
-
-_SIDES = f"""i AS (SELECT * FROM {bag('b', sorted({b[1] for b in _BASIS}), "tag_type = 'line' AND doc_type = 'iso'")}),
-l AS (SELECT * FROM {bag('b', sorted({b[2] for b in _BASIS}), "tag_type = 'line' AND doc_type = 'pll'")}),
-f AS (SELECT *, {key('tag_number')} AS k, row_number() OVER (PARTITION BY project_id, {key('tag_number')} ORDER BY id) AS r FROM l)"""
-_STACK = " UNION ALL ".join(f"SELECT i.id AS iso_id, f.id AS pll_id, '{n}' AS field_checked, {str(num).lower()} AS numeric, i.{a} AS iso_value, f.{b} AS pll_value FROM i JOIN f ON f.r = 1 AND f.project_id = i.project_id AND f.k = {key('i.tag_number')}" for n, a, b, num in _BASIS)
-
-
-@query(f"""WITH {_SIDES}, s AS ({_STACK}), v AS (SELECT *, {X.num('iso_value')} AS na, {X.num('pll_value')} AS nb, {X.unit('iso_value')} AS ua, {X.unit('pll_value')} AS ub FROM s)
-SELECT iso_id, pll_id, field_checked, iso_value AS value_a, pll_value AS value_b FROM v WHERE CASE WHEN numeric THEN {X._verdict_sql(True)} ELSE {X._verdict_sql(False)} END = 'mismatch'""")
-def check_design_basis(spark, d):
-    """Findings of title blocks against the line list: fields that both state and that differ."""
-    iso_f, pll_f = sorted({b[1] for b in _BASIS}), sorted({b[2] for b in _BASIS})
-    iso = tags(spark, d, "line", "iso", iso_f).select(F.col("id").alias("iso_id"), "project_id", T.tag_key(F.col("tag_number")).alias("k"), *[F.col(c).alias(f"i_{c}") for c in iso_f])
-    pll = tags(spark, d, "line", "pll", pll_f).select(F.col("id").alias("pll_id"), "project_id", T.tag_key(F.col("tag_number")).alias("k"), *[F.col(c).alias(f"p_{c}") for c in pll_f])
-    j = iso.join(R.pick_row(pll, ["project_id", "k"], ["pll_id"]), ["project_id", "k"])
-    stacked = j.select("iso_id", "pll_id", F.inline(F.array(*[F.struct(F.lit(n).alias("field_checked"), F.lit(num).alias("numeric"), F.col(f"i_{a}").alias("value_a"), F.col(f"p_{b}").alias("value_b")) for n, a, b, num in _BASIS])))
-    v = C.prepared(stacked, "value_a", "value_b").withColumn("status", F.when(F.col("numeric"), C.verdict(True)).otherwise(C.verdict(False)))
-    return v.filter("status = 'mismatch'").select("iso_id", "pll_id", "field_checked", "value_a", "value_b")
-
-
 _REQUIRED = ["document_number", "drawing_number", "revision", "sheet", "spec_class", "size"]
 
 
@@ -413,38 +391,3 @@ def check_orientation(spark, d):
     t = table(spark, d, "extracted_tags").filter("tag_type = 'spool'").select("id", F.try_variant_get(shred.parse(F.col("attributes")), "$.bounding_box_mm", "array<double>").alias("b"))
     o = t.filter((F.size("b") == 3) & ~F.exists("b", lambda x: x.isNull())).select("id", spools.orientation(F.col("b"), CONTAINERS[1][1]).alias("o"))
     return o.filter("o is not null").select("id", "o.axes", "o.clearance")
-
-
-_NUMERIC = [("2.design_pressure", "design_pressure"), ("2.design_temperature", "design_temperature"), ("2.operating_pressure", "operating_pressure")]
-_CHAIN_ISO = f"""i AS (SELECT document_id, project_id, {key('tag_number')} AS k, {', '.join(f'{_FIRST(f)} AS {f}' for f in ('size', 'spec_class'))} FROM {bag('b', ['size', 'spec_class'], "tag_type = 'line' AND doc_type = 'iso'")} GROUP BY ALL),
-l AS (SELECT project_id, {key('tag_number')} AS k, count(*) AS n, arg_min(spec_class, id) AS spec_class FROM {bag('b', ['spec_class'], "tag_type = 'line' AND doc_type = 'pll'")} GROUP BY ALL),
-sc AS (SELECT DISTINCT {X.bom_class('tag_number')} AS c FROM extracted_tags WHERE tag_type = 'spec_class'),
-j AS (SELECT i.*, l.n, l.spec_class AS listed FROM i LEFT JOIN l ON l.project_id = i.project_id AND l.k = i.k),
-g1 AS (SELECT document_id, k, '1.line_exists' AS field_checked, 'error' AS severity FROM j WHERE n IS NULL),
-g2 AS (SELECT document_id, k, '2.piping_class' AS field_checked, 'error' AS severity FROM j WHERE n IS NOT NULL AND NOT {blank('spec_class')} AND NOT {blank('listed')} AND {X.bom_class('spec_class')} <> {X.bom_class('listed')} AND document_id NOT IN (SELECT document_id FROM g1))"""
-
-
-@query(f"""WITH {_CHAIN_ISO}
-SELECT document_id, k, '0.' || f AS field_checked, 'warning' AS severity FROM (SELECT document_id, k, 'size' AS f FROM j WHERE {blank('size')} UNION ALL SELECT document_id, k, 'spec_class' FROM j WHERE {blank('spec_class')})
-UNION ALL SELECT * FROM g1 UNION ALL SELECT document_id, k, '1.duplicates', 'warning' FROM j WHERE n > 1 UNION ALL SELECT * FROM g2
-UNION ALL SELECT document_id, k, '4.spec_class', 'error' FROM j WHERE NOT {blank('spec_class')} AND {X.bom_class('spec_class')} NOT IN (SELECT c FROM sc WHERE c IS NOT NULL) AND document_id NOT IN (SELECT document_id FROM g1) AND document_id NOT IN (SELECT document_id FROM g2)""")
-def check_findings(spark, d):
-    """Staged findings of every ISO: a line missing from the list stops the later stages of its whole document, a class mismatch all after it."""
-    iso = tags(spark, d, "line", "iso", ["size", "spec_class"]).withColumn("k", T.tag_key(F.col("tag_number"))).withColumn("page", F.coalesce("source_page", F.lit(0)))
-    lines = R.merge_lines(iso, ["document_id", "project_id", "k"], ["size", "spec_class"], ["page", "id"])
-    pll = tags(spark, d, "line", "pll", ["spec_class"]).withColumn("k", T.tag_key(F.col("tag_number")))
-    listed = pll.groupBy("project_id", "k").agg(F.count("*").alias("n"), F.min(F.struct("id", "spec_class"))["spec_class"].alias("listed"))
-    known = tags(spark, d, "spec_class").select(T.bom_class(F.col("tag_number")).alias("cls"), F.lit(True).alias("known")).filter("cls is not null").distinct()
-    j = lines.join(listed, ["project_id", "k"], "left").withColumn("cls", T.bom_class(F.col("spec_class"))).join(known, "cls", "left")
-    stated = ~T.blank(F.col("spec_class"))
-    missing = F.col("n").isNull()
-    clash = ~missing & stated & ~T.blank(F.col("listed")) & (F.col("cls") != T.bom_class(F.col("listed")))
-    # The stop of a document is an aggregate over its lines: one small row per document comes back to them.
-    stops = j.groupBy("document_id").agg(F.max(missing).alias("stop1"), F.max(F.coalesce(clash, F.lit(False))).alias("stop2"))
-    s = j.join(stops, "document_id")
-    row = lambda code, severity, when: F.when(when, F.struct(F.lit(code).alias("field_checked"), F.lit(severity).alias("severity")))
-    found = F.array_compact(F.array(
-        row("0.size", "warning", T.blank(F.col("size"))), row("0.spec_class", "warning", ~stated), row("1.line_exists", "error", missing), row("1.duplicates", "warning", F.col("n") > 1),
-        row("2.piping_class", "error", clash & ~F.col("stop1")), row("4.spec_class", "error", stated & F.col("known").isNull() & ~F.col("stop1") & ~F.col("stop2")),
-    ))
-    return s.select("document_id", "k", F.inline(found))
