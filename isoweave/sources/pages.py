@@ -88,3 +88,21 @@ def sheet_pages(results: DataFrame, pages: DataFrame) -> DataFrame:
     located = sheets.join(have, on).select("owner_id", "sheet_pos", sheets["document_id"].alias("document_id"), "page_number")
     bare = results.select(F.col("id").cast("string").alias("owner_id"), "document_id").join(sheets.select("owner_id").distinct(), "owner_id", "left_anti").join(have, "document_id")
     return located.unionByName(bare.select("owner_id", (F.col("page_number") - 1).cast("int").alias("sheet_pos"), "document_id", "page_number"))
+
+
+def joined(pages: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, pages, text): numbered pages of a group in page order with a blank line between them; null keys are left out.
+
+    A group is one document or sheet, so its text is one value as it is for every reader of it.
+    """
+    n = numbered(pages) if "text" not in pages.columns else pages
+    some = n.filter(" and ".join(f"{k} is not null" for k in keys))
+    parts = F.array_sort(F.collect_list(F.struct("page_number", "id", "text")))
+    return some.groupBy(*keys).agg(F.count("*").alias("pages"), F.array_join(F.transform(parts, lambda p: p["text"]), "\n\n").alias("text"))
+
+
+def sliced(results: DataFrame, pages: DataFrame) -> DataFrame:
+    """(owner_id, sheet_pos, pages, text) of every located sheet's inclusive page range; ranges without pages have none."""
+    s, p = located_sheets(results), numbered(pages)
+    on = (s["document_id"] == p["document_id"]) & F.col("page_number").between(F.col("first"), F.col("last"))
+    return joined(s.join(p, on).select("owner_id", "sheet_pos", "page_number", "id", "text"), ["owner_id", "sheet_pos"])
