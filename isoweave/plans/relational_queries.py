@@ -253,14 +253,6 @@ def win_latest_results(spark, d):
     return R.latest(table(spark, d, "extraction_results").select("document_id", "id", "created_at"), ["document_id"], "created_at", "id").select("document_id", "id")
 
 
-@query(f"""WITH {CLASS_ROWS_SQL}, n AS (SELECT *, {X.nps('size_min')} AS lo, {X.nps('size_max')} AS hi FROM cr)
-SELECT class_code, category, pos FROM (SELECT *, lag(hi) OVER (PARTITION BY class_code, category, description, material ORDER BY lo, hi, pos) AS b FROM n WHERE lo IS NOT NULL AND hi IS NOT NULL) WHERE lo <= b + 1e-9 AND category <> 'valves'""")
-def win_overlaps(spark, d):
-    """Class rows whose size range overlaps the one before in the same type group; valves may overlap."""
-    r = class_rows(spark, d).filter("category <> 'valves'")
-    return R.overlaps(r, ["class_code", "category", "description", "material"], "size_min", "size_max", "pos").select("class_code", "category", "pos")
-
-
 @query(f"""WITH t AS (SELECT document_id, coalesce(source_page, 0) AS page, regexp_replace(tag_number, '\\s+', '', 'g') AS t, tag_number AS raw FROM extracted_tags WHERE tag_type = 'weld'),
 p AS (SELECT document_id, page, upper(regexp_extract(t, '^([A-Za-z]+)0*(\\d+)$', 1)) AS prefix, TRY_CAST(regexp_extract(t, '^([A-Za-z]+)0*(\\d+)$', 2) AS BIGINT) AS num, raw FROM t WHERE regexp_matches(t, '^([A-Za-z]+)0*(\\d+)$')),
 o AS (SELECT document_id, page, prefix, num, min(raw) AS raw FROM p GROUP BY ALL),
