@@ -1,11 +1,10 @@
 """Matching records without a common key (problem 3): probabilistic record linkage.
 
-Rows of both tables are reduced to distinct texts, read into features (piping class, kind,
-nominal sizes, material, kind by type code) and reduced again to distinct descriptions with
-their number of rows, so that hot groups of alike rows are compared once. Two blocking passes
-bring candidates together; agreement levels are counted per pattern; expectation-maximisation
-over the patterns estimates match probabilities against those of chance; the posterior is the
-confidence and decides alone.
+Rows of both tables are read into features (piping class, kind, nominal sizes, material, kind
+by type code) and reduced to distinct descriptions with their number of rows, so that hot
+groups of alike rows are compared once. Two blocking passes bring candidates together;
+agreement levels are counted per pattern; expectation-maximisation over the patterns estimates
+match probabilities against those of chance; the posterior is the confidence and decides alone.
 """
 
 from __future__ import annotations
@@ -41,8 +40,8 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 size = tuple(sorted({d for c in (r.p1, r.p2, r.p3) for d in parts.sizes(c, None)}, reverse=True)) or parts.sizes(None, r.description, kind)
             else:
                 size = parts.sizes(r.p1, r.description, kind)
-            rows.append((r.raw, r.rows, r.cls, kind, "x".join(map(str, size)), parts.material(r.material, r.description, kind), parts.kind(r.type).split(" ")[0]))
-        yield pd.DataFrame(rows, columns=["raw", "rows", *FEATURES])
+            rows.append((r.id, r.cls, kind, "x".join(map(str, size)), parts.material(r.material, r.description, kind), parts.kind(r.type).split(" ")[0]))
+        yield pd.DataFrame(rows, columns=["id", *FEATURES])
 
 
 def piping_class(code: str, fallback: str, segment: int, sep: str) -> Column:
@@ -52,34 +51,28 @@ def piping_class(code: str, fallback: str, segment: int, sep: str) -> Column:
     return F.when(F.length(own) >= 5, F.left(own, F.lit(5))).when(F.length(other) >= 5, F.left(other, F.lit(5))).otherwise("")
 
 
-@dataclass
-class Side:
-    """``ids``: (id, raw); ``texts``: (raw, rows, FEATURES, key), one row per distinct text, '' where it does not tell."""
-
-    ids: DataFrame
-    texts: DataFrame
+def _side(df: DataFrame, side: str, cls: Column, type_: str, sizes: list[str]) -> DataFrame:
+    """(id, FEATURES, key) of every row, '' where it does not tell; a digest of 128 bits stands for the features in joins.
 
-    def described(self) -> DataFrame:
-        """Distinct descriptions with their number of rows."""
-        return self.texts.groupBy("key").agg(*[F.any_value(c).alias(c) for c in FEATURES], F.sum("rows").alias("n"))
+    Whole texts differ nearly from row to row, so they are not grouped before they are read: words and texts met before
+    come from the readers' caches.
+    """
+    p = [F.col(c).cast("string") for c in sizes] + [F.lit(None).cast("string")] * (3 - len(sizes))
+    src = df.select(F.col("id").cast("bigint").alias("id"), F.lit(side).alias("side"), cls.alias("cls"), F.col(type_).cast("string").alias("type"), "description", "material", *[c.alias(f"p{i + 1}") for i, c in enumerate(p)])
+    read = src.mapInPandas(_read, "id bigint, cls string, kind string, size string, mat string, typed string")
+    return materialise(read.withColumn("key", F.unhex(F.md5(F.concat_ws("|", *FEATURES)))), side)
 
 
-def _side(df: DataFrame, side: str, cls: Column, type_: str, sizes: list[str]) -> Side:
-    p = [F.col(c).cast("string") for c in sizes] + [F.lit(None).cast("string")] * (3 - len(sizes))
-    texts = [cls.alias("cls"), F.col(type_).cast("string").alias("type"), F.col("description"), F.col("material"), *[c.alias(f"p{i + 1}") for i, c in enumerate(p)]]
-    # A digest of 128 bits stands for the texts in joins.
-    rows = df.select(F.col("id").cast("bigint").alias("id"), F.unhex(F.md5(F.to_json(F.struct(*texts)))).alias("raw"), *texts)
-    names = ["cls", "type", "description", "material", "p1", "p2", "p3"]
-    distinct = rows.groupBy("raw").agg(*[F.any_value(c).alias(c) for c in names], F.count("*").alias("rows")).withColumn("side", F.lit(side))
-    read = distinct.mapInPandas(_read, "raw binary, rows bigint, cls string, kind string, size string, mat string, typed string")
-    return Side(rows.select("id", "raw"), materialise(read.withColumn("key", F.unhex(F.md5(F.concat_ws("|", *FEATURES)))), side))
+def described(side: DataFrame) -> DataFrame:
+    """Distinct descriptions with their number of rows."""
+    return side.groupBy("key", *FEATURES).agg(F.count("*").alias("n"))
 
 
-def item_side(items: DataFrame) -> Side:
+def item_side(items: DataFrame) -> DataFrame:
     return _side(items, "item", piping_class("spec_code", "reference", 1, "/"), "type", ["size_p1", "size_p2", "size_p3"])
 
 
-def bom_side(bom: DataFrame) -> Side:
+def bom_side(bom: DataFrame) -> DataFrame:
     return _side(bom, "bom", piping_class("spec_class", "line_number", 2, "-"), "component_type", ["size"])
 
 
@@ -208,7 +201,7 @@ def link(items: DataFrame, bom: DataFrame, accept: float = ACCEPT) -> Links:
     each; empty tables give no pairs. Further columns are ignored.
     """
     left_side, right_side = item_side(items), bom_side(bom)
-    left, right = left_side.described(), right_side.described()
+    left, right = described(left_side), described(right_side)
     cand = materialise(candidates(left, right), "candidates")
     # At most 4 levels of 3 fields and 6 of the type code: 384 rows.
     counted = cand.groupBy(*FIELDS).agg(F.sum(F.col("l_n") * F.col("r_n")).cast("double").alias("w")).orderBy(*FIELDS).toPandas()
@@ -217,8 +210,8 @@ def link(items: DataFrame, bom: DataFrame, accept: float = ACCEPT) -> Links:
     good = [(*map(int, r[:4]), float(r[5])) for r in patterns.itertuples(index=False) if r[5] >= accept]
     scored = spark.createDataFrame(good, "k int, s int, m int, t int, confidence double")
     classes = cand.join(F.broadcast(scored), FIELDS).select("l_key", "r_key", "l_n", "r_n", *FIELDS, "confidence")
-    rows = lambda side, name, key: side.ids.join(side.texts.select("raw", F.col("key").alias(key)), "raw").select(F.col("id").alias(name), key)
+    rows = lambda side, name, key: side.select(F.col("id").alias(name), F.col("key").alias(key))
     pairs = classes.join(rows(left_side, "item_id", "l_key"), "l_key").join(rows(right_side, "bom_id", "r_key"), "r_key").select("item_id", "bom_id", "confidence")
     shown = lambda side, key, mark: side.select(F.col("key").alias(key), *[F.col(c).alias(f"{mark}_{c}") for c in FEATURES])
-    described = classes.join(shown(left, "l_key", "item"), "l_key").join(shown(right, "r_key", "bom"), "r_key")
-    return Links(pairs, described.select(*[f"{s}_{c}" for s in ("item", "bom") for c in FEATURES], F.col("l_n").alias("items"), F.col("r_n").alias("bom_rows"), "confidence"), patterns)
+    told = classes.join(shown(left, "l_key", "item"), "l_key").join(shown(right, "r_key", "bom"), "r_key")
+    return Links(pairs, told.select(*[f"{s}_{c}" for s in ("item", "bom") for c in FEATURES], F.col("l_n").alias("items"), F.col("r_n").alias("bom_rows"), "confidence"), patterns)
