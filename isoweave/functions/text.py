@@ -175,3 +175,25 @@ def cell(v: Column) -> Column:
     """Lines of a cell trimmed and joined by a slash, empty as null."""
     lines = F.filter(F.transform(F.split(v, r"\r?\n"), trimmed), lambda x: x != "")
     return or_null(F.array_join(lines, " / "))
+
+
+def elevation(v: Column) -> Column:
+    """Number of an elevation without its leading plus; null for texts that are none."""
+    n = F.regexp_replace(trimmed(v), r"^\+", "").try_cast("double")
+    return F.when(~F.isnan(n) & (F.abs(n) < float("inf")), n)
+
+
+def axis(v: Column) -> Column:
+    """e, n or el in lower case, null for anything else."""
+    a = F.lower(trimmed(v))
+    return F.when(a.isin("e", "n", "el"), a)
+
+
+def stage_and_field(code: Column) -> Column:
+    """struct<stage, field> of a finding's code, cut at its first dot."""
+    return F.struct(F.regexp_extract(code, r"^([^.]*)", 1).alias("stage"), F.regexp_extract(code, r"^[^.]*\.(.*)$", 1).alias("field"))
+
+
+def joined_text(*parts: Column) -> Column:
+    """Stated parts joined by a comma, a dash where there is none."""
+    return F.coalesce(or_null(F.concat_ws(", ", *[or_null(trimmed(p)) for p in parts])), F.lit("-"))

@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 # Sizes in points.
 CLOSED, RADIUS, ROUNDNESS = 0.5, (2.0, 20.0), 0.35
@@ -69,3 +70,23 @@ def symbols(paths: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["document_id", "page_number", "path_id", "kind", "x", "y"])
 
     return paths.select("document_id", "page_number", "path_id", "points").mapInPandas(run, "document_id string, page_number int, path_id bigint, kind string, x double, y double")
+
+
+def tiles(pages: DataFrame, cols: int = 3, rows: int = 2, overlap: float = 0.08) -> DataFrame:
+    """(page, row, col, x, y, w, h): a page's overlapping tiles, clipped at its edges; rows and columns count from 1."""
+    grid = pages.select("page", "width", "height", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("r")).select("*", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("c"))
+    tw, th = F.col("width") / cols, F.col("height") / rows
+    x, y = F.greatest(F.lit(0.0), F.col("c") * tw - tw * overlap), F.greatest(F.lit(0.0), F.col("r") * th - th * overlap)
+    return grid.select("page", (F.col("r") + 1).alias("row"), (F.col("c") + 1).alias("col"), x.alias("x"), y.alias("y"), F.least(F.col("width") - x, tw * (1 + 2 * overlap)).alias("w"), F.least(F.col("height") - y, th * (1 + 2 * overlap)).alias("h"))
+
+
+def multiplied(m: Column, ctm: Column) -> Column:
+    """Product m × ctm of affine matrices given as [a, b, c, d, e, f]."""
+    a, b, c, d, e, f = (m[i] for i in range(6))
+    u, v, w, x, y, z = (ctm[i] for i in range(6))
+    return F.array(a * u + b * w, a * v + b * x, c * u + d * w, c * v + d * x, e * u + f * w + y, e * v + f * x + z)
+
+
+def moved(m: Column, x: Column, y: Column) -> Column:
+    """struct<x, y>: a point under an affine matrix."""
+    return F.struct((m[0] * x + m[2] * y + m[4]).alias("x"), (m[1] * x + m[3] * y + m[5]).alias("y"))

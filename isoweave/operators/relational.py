@@ -50,13 +50,15 @@ def overlaps(rows: DataFrame, part: list[str], lo: str, hi: str, pos: str) -> Da
     return r.withColumn("_before", F.lag("_hi").over(w)).filter(F.col("_lo") <= F.col("_before") + 1e-9).drop("_before", "_lo", "_hi")
 
 
-def compact_ranges(tags: DataFrame, part: list[str], prefix: str, num: str, raw: str) -> DataFrame:
-    """Runs of consecutive numbers per prefix as one text a group: SW01-SW06, FW01; prefixes in alphabetical order."""
-    one = tags.groupBy(*part, prefix, num).agg(F.min(raw).alias(raw))
-    w = Window.partitionBy(*part, prefix).orderBy(num)
-    runs = one.withColumn("_run", F.col(num) - F.row_number().over(w)).groupBy(*part, prefix, "_run").agg(F.min(num).alias("a"), F.min_by(raw, num).alias("x"), F.max_by(raw, num).alias("y"))
+def compact_ranges(tags: DataFrame, part: list[str], prefix: str, num: str, raw: str, order: str | None = None) -> DataFrame:
+    """Runs of consecutive numbers per prefix as one text a group: SW01-SW06, FW01; prefixes as first seen by ``order``, else alphabetical."""
+    seen = F.min(order) if order else F.lit(0)
+    one = tags.groupBy(*part, prefix, num).agg(F.min(raw).alias(raw), seen.alias("_o"))
+    w = Window.partitionBy(*part, prefix)
+    numbered = one.withColumn("_run", F.col(num) - F.row_number().over(w.orderBy(num))).withColumn("_o", F.min("_o").over(w))
+    runs = numbered.groupBy(*part, "_o", prefix, "_run").agg(F.min(num).alias("a"), F.min_by(raw, num).alias("x"), F.max_by(raw, num).alias("y"))
     text = runs.withColumn("t", F.when(F.col("x") == F.col("y"), F.col("x")).otherwise(F.concat("x", F.lit("-"), "y")))
-    return text.groupBy(*part).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(prefix, "a", "t"))), lambda s: s["t"]), ", ").alias("ranges"))
+    return text.groupBy(*part).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", prefix, "a", "t"))), lambda s: s["t"]), ", ").alias("ranges"))
 
 
 def first_in_range(left: DataFrame, right: DataFrame, keys: list[str], x: str, lo: str, hi: str, order: str, also: Column | None = None) -> DataFrame:

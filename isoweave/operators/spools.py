@@ -115,3 +115,20 @@ def orientation(box: Column, inner: tuple[float, float, float]) -> Column:
     options = F.array(*[F.struct(F.least(*[F.lit(float(inner[k])) - box[i] for k, i in enumerate(p)]).alias("clearance"), F.lit(-n).alias("o"), F.lit("".join("xyz"[i] for i in p)).alias("axes")) for n, p in enumerate(perms)])
     best = F.array_max(F.filter(options, lambda s: s["clearance"] >= 0))
     return F.when(best.isNotNull(), F.struct(best["axes"].alias("axes"), best["clearance"].alias("clearance")))
+
+
+def shares_joint(a: Column, b: Column) -> Column:
+    """Whether two ends name a common weld tag or coordinate."""
+    both = lambda p: F.coalesce(F.arrays_overlap(tokens(a, p), tokens(b, p)), F.lit(False))
+    return both(WELD_TAG) | both(COORDINATE)
+
+
+def meets_weld(tag: Column, note: Column, end: Column) -> Column:
+    """Whether a dimension's end names a weld, or a coordinate of its note."""
+    named = F.array_contains(tokens(end, WELD_TAG), F.upper(F.regexp_replace(tag, r"\s+", "")))
+    return F.coalesce(named, F.lit(False)) | F.coalesce(F.arrays_overlap(tokens(note, COORDINATE), tokens(end, COORDINATE)), F.lit(False))
+
+
+def dimension_kind(one: Column, other: Column, manual: Column) -> Column:
+    """Kind of a dimension by its ends: the kind set by hand first, a valve if either end is one, else the first that is known."""
+    return F.coalesce(manual, F.when((one == "valve") | (other == "valve"), "valve"), one, other)

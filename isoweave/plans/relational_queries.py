@@ -226,9 +226,9 @@ def agg_welds(spark, d):
     return t.groupBy("document_id", "source_page", F.coalesce("spool_no", F.lit("")).alias("spool_no")).agg(F.count("*").alias("welds"), F.count_if(place == "field").alias("field_welds"), F.count_if(place == "shop").alias("shop_welds"))
 
 
-@query("SELECT document_id, tag_type, count(*) AS n, count(DISTINCT source_page) AS pages, min(source_page) AS first_page, max(source_page) AS last_page FROM extracted_tags GROUP BY ALL")
+@query("SELECT document_id, tag_type, count(*) AS n, count(DISTINCT source_page) AS pages, min(source_page) AS first_page, max(source_page) AS last_page, coalesce(array_to_string(list_sort(list(DISTINCT source_page) FILTER (WHERE source_page IS NOT NULL)), ','), '') AS page_list FROM extracted_tags GROUP BY ALL")
 def agg_tag_pages(spark, d):
-    return tags(spark, d).groupBy("document_id", "tag_type").agg(F.count("*").alias("n"), F.countDistinct("source_page").alias("pages"), F.min("source_page").alias("first_page"), F.max("source_page").alias("last_page"))
+    return tags(spark, d).groupBy("document_id", "tag_type").agg(F.count("*").alias("n"), F.countDistinct("source_page").alias("pages"), F.min("source_page").alias("first_page"), F.max("source_page").alias("last_page"), F.array_join(F.array_sort(F.collect_set("source_page")).cast("array<string>"), ",").alias("page_list"))
 
 
 @query(f"""SELECT document_id, source_page, CASE WHEN count(DISTINCT size) = 1 THEN max(size) END AS size FROM {bag('b', ['size'], "tag_type = 'weld'")} WHERE NOT {blank('size')} GROUP BY ALL""")
@@ -253,16 +253,26 @@ def win_latest_results(spark, d):
     return R.latest(table(spark, d, "extraction_results").select("document_id", "id", "created_at"), ["document_id"], "created_at", "id").select("document_id", "id")
 
 
-@query(f"""WITH t AS (SELECT document_id, coalesce(source_page, 0) AS page, regexp_replace(tag_number, '\\s+', '', 'g') AS t, tag_number AS raw FROM extracted_tags WHERE tag_type = 'weld'),
-p AS (SELECT document_id, page, upper(regexp_extract(t, '^([A-Za-z]+)0*(\\d+)$', 1)) AS prefix, TRY_CAST(regexp_extract(t, '^([A-Za-z]+)0*(\\d+)$', 2) AS BIGINT) AS num, raw FROM t WHERE regexp_matches(t, '^([A-Za-z]+)0*(\\d+)$')),
-o AS (SELECT document_id, page, prefix, num, min(raw) AS raw FROM p GROUP BY ALL),
-r AS (SELECT *, num - row_number() OVER (PARTITION BY document_id, page, prefix ORDER BY num) AS run FROM o),
-g AS (SELECT document_id, page, prefix, run, min(num) AS a, arg_min(raw, num) AS x, arg_max(raw, num) AS y FROM r GROUP BY ALL)
-SELECT document_id, page, string_agg(CASE WHEN x = y THEN x ELSE x || '-' || y END, ', ' ORDER BY prefix, a) AS ranges FROM g GROUP BY ALL""")
+@query(f"""WITH t AS (SELECT id, document_id, coalesce(source_page, 0) AS page, regexp_replace(tag_number, '\\s+', '', 'g') AS t, tag_number AS raw FROM extracted_tags WHERE tag_type = 'weld'),
+p AS (SELECT id, document_id, page, upper(regexp_extract(t, '^([A-Za-z]+)0*(\\d+)$', 1)) AS prefix, TRY_CAST(regexp_extract(t, '^([A-Za-z]+)0*(\\d+)$', 2) AS BIGINT) AS num, raw FROM t WHERE regexp_matches(t, '^([A-Za-z]+)0*(\\d+)$')),
+o AS (SELECT document_id, page, prefix, num, min(raw) AS raw, min(id) AS id FROM p GROUP BY ALL),
+r AS (SELECT *, num - row_number() OVER (PARTITION BY document_id, page, prefix ORDER BY num) AS run, min(id) OVER (PARTITION BY document_id, page, prefix) AS seen FROM o),
+g AS (SELECT document_id, page, seen, prefix, run, min(num) AS a, arg_min(raw, num) AS x, arg_max(raw, num) AS y FROM r GROUP BY ALL)
+SELECT document_id, page, string_agg(CASE WHEN x = y THEN x ELSE x || '-' || y END, ', ' ORDER BY seen, prefix, a) AS ranges FROM g GROUP BY ALL""")
 def win_weld_ranges(spark, d):
+    """Welds of every sheet as ranges, prefixes in the order they are first seen."""
     t = tags(spark, d, "weld").withColumn("p", T.tag_parts(F.col("tag_number"))).filter("p is not null")
-    flat = t.select("document_id", F.coalesce("source_page", F.lit(0)).alias("page"), "p.prefix", "p.num", F.col("tag_number").alias("raw"))
-    return R.compact_ranges(flat, ["document_id", "page"], "prefix", "num", "raw")
+    flat = t.select("id", "document_id", F.coalesce("source_page", F.lit(0)).alias("page"), "p.prefix", "p.num", F.col("tag_number").alias("raw"))
+    return R.compact_ranges(flat, ["document_id", "page"], "prefix", "num", "raw", "id")
+
+
+@query(f"""WITH w AS (SELECT document_id, {trim('weld_list_id')} AS k, min(id) AS weld_id FROM {bag('b', ['weld_list_id'], "tag_type = 'weld'")} GROUP BY ALL)
+SELECT l.id AS list_id, w.weld_id FROM extracted_tags l LEFT JOIN w ON w.document_id = l.document_id AND w.k = {trim('l.tag_number')} WHERE l.tag_type = 'weld_list_row'""")
+def join_list_welds(spark, d):
+    """Weld list rows with the first weld that cites them, null where none does."""
+    w = tags(spark, d, "weld", fields=["weld_list_id"]).groupBy("document_id", T.trimmed(F.col("weld_list_id")).alias("k")).agg(F.min("id").alias("weld_id"))
+    rows = tags(spark, d, "weld_list_row").select("document_id", T.trimmed(F.col("tag_number")).alias("k"), F.col("id").alias("list_id"))
+    return rows.join(w, ["document_id", "k"], "left").select("list_id", "weld_id")
 
 
 @query(f"SELECT id, n FROM (SELECT id, doc_type, count(*) OVER (PARTITION BY project_id, {key('tag_number')}) AS n FROM extracted_tags WHERE tag_type = 'line' AND doc_type = 'pll') WHERE n > 1")

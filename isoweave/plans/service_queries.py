@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import rules
@@ -67,17 +67,24 @@ DOC_TYPES = ("iso", "pid", "pid_legend", "pll", "hmb", "pfd", "ga", "spec_sheet"
 # End of fixed values.
 
 
+def bad_document() -> Column:
+    return F.col("doc_type").isNull() | ~F.col("doc_type").isin(*DOC_TYPES) | (F.col("page_count") < 1) | ~F.lower("file_name").rlike(r"\.(pdf|csv|xlsx)$")
+
+
+def foreign_path() -> Column:
+    return ~F.split("storage_path", "/")[0].eqNullSafe(F.col("project_id"))
+
+
 @query(f"SELECT id, doc_type FROM project_documents WHERE doc_type IS NULL OR doc_type NOT IN ({', '.join(map(q, DOC_TYPES))}) OR page_count < 1 OR NOT regexp_matches(lower(file_name), '\\.(pdf|csv|xlsx)$')")
 def con_documents(spark, d):
     """Documents of an unknown type, without pages, or of a file kind that has no reader."""
-    bad = F.col("doc_type").isNull() | ~F.col("doc_type").isin(*DOC_TYPES) | (F.col("page_count") < 1) | ~F.lower("file_name").rlike(r"\.(pdf|csv|xlsx)$")
-    return table(spark, d, "project_documents").filter(bad).select("id", "doc_type")
+    return table(spark, d, "project_documents").filter(bad_document()).select("id", "doc_type")
 
 
 @query("SELECT id FROM project_documents WHERE string_split(storage_path, '/')[1] IS DISTINCT FROM project_id")
 def ten_foreign_paths(spark, d):
     """Files stored outside their project's folder."""
-    return table(spark, d, "project_documents").filter(~F.split("storage_path", "/")[0].eqNullSafe(F.col("project_id"))).select("id")
+    return table(spark, d, "project_documents").filter(foreign_path()).select("id")
 
 
 @query("""SELECT o_orderkey FROM orders o WHERE EXISTS (SELECT 1 FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey WHERE c.c_custkey = o.o_custkey AND r.r_name IN ('ASIA', 'EUROPE'))""")
@@ -96,9 +103,9 @@ _STATE = {"view": "queued", "click": "running", "purchase": "succeeded", "error"
 SELECT user_id, arg_max(state, (ts, state)) AS state, max(ts) AS since, count(*) AS events FROM s WHERE state IS NOT NULL GROUP BY user_id""")
 def stream_job_states(spark, d):
     state = F.create_map(*[F.lit(x) for kv in _STATE.items() for x in kv])[F.col("event_type")]
-    return jobs.settle(jobs.job_states(jobs.read_events(spark, d), "user_id", "ts", state), "complete", "states")
+    return jobs.settle(jobs.job_states(jobs.read_events(spark, d), "user_id", "ts", state), ["user_id"], "states")
 
 
 @query("SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_window_counts(spark, d):
-    return jobs.settle(jobs.windowed_counts(jobs.read_events(spark, d), "ts", "event_type", "6 hours", "1 day"), "complete", "windows")
+    return jobs.settle(jobs.windowed_counts(jobs.read_events(spark, d), "ts", "event_type", "6 hours", "1 day"), ["start", "event_type"], "windows")

@@ -73,6 +73,12 @@ def _tidy(spark: SparkSession) -> None:
     atexit.register(remove)
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one, removed when the driver's Python ends."""
+    _tidy(spark)
+    return f"{shared_dir(spark)}/isoweave/{spark.sparkContext.applicationId}"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a compressed table in the shared folder and read it back.
 
@@ -80,8 +86,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     executors: the files belong to no executor.
     """
     spark = df.sparkSession
-    _tidy(spark)
-    path = f"{shared_dir(spark)}/isoweave/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -6,8 +6,9 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ..runtime import shared_dir
+from ..runtime import own_dir
 
 # Minutes after which a running job is given up; states in order.
 STALE_MINUTES = 15
@@ -24,17 +25,23 @@ def read_events(spark: SparkSession, folder: str, name: str = "events.parquet")
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
 
-def settle(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Run a stream over all that is there and return its result table; each batch replaces the table as a whole."""
+def settle(stream: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Run an aggregating stream over all that is there and return its result table, one row per key.
+
+    Each batch stores only the rows it changed, under its own number, so a batch that runs again replaces itself and
+    none rewrites the table; the newest row of a key holds.
+    """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/isoweave/stream-{name}-{uuid.uuid4().hex[:12]}"
+    base = f"{own_dir(spark)}/stream-{name}-{uuid.uuid4().hex[:12]}"
     run = (
-        stream.writeStream.outputMode(mode)
-        .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{base}/table"))
+        stream.writeStream.outputMode("update")
+        .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{base}/table/batch={n}"))
         .option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start()
     )
     run.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/table")
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).option("basePath", f"{base}/table").parquet(f"{base}/table")
+    rest = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*").select(*stream.columns)
 
 
 def job_states(events: DataFrame, job: str, when: str, state: Column) -> DataFrame:
@@ -50,7 +57,8 @@ def fail_stale(jobs: DataFrame, now: Column, minutes: int = STALE_MINUTES) -> Da
 
 
 def windowed_counts(events: DataFrame, when: str, key: str, width: str, late: str) -> DataFrame:
-    """Events per window and key; events later than ``late`` behind the newest are dropped by the watermark."""
+    """Events per window and key; in update mode a window's state is freed, and events for it are dropped, once it ends
+    more than ``late`` before the newest event of an earlier batch."""
     timed = events.withColumn(when, F.col(when).cast("timestamp"))
     return timed.withWatermark(when, late).groupBy(F.window(when, width).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "n")
 

@@ -147,4 +147,4 @@ def test_jobs(spark, tmp_path):
     assert rows(got, "id", "status") == [(1, "failed"), (2, "running"), (3, "queued")]
     ev = spark.createDataFrame([(1, now, "a"), (1, now + dt.timedelta(minutes=1), "b"), (2, now, None)], "job int, ts timestamp, s string")
     ev.write.parquet(str(tmp_path / "events.parquet"))
-    assert rows(jobs.settle(jobs.job_states(jobs.read_events(spark, str(tmp_path)), "job", "ts", F.col("s")), "complete", "t"), "job", "state", "events") == [(1, "b", 2)]
+    assert rows(jobs.settle(jobs.job_states(jobs.read_events(spark, str(tmp_path)), "job", "ts", F.col("s")), ["job"], "t"), "job", "state", "events") == [(1, "b", 2)]
