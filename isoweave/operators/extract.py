@@ -62,7 +62,8 @@ def iso_tags(results: DataFrame) -> DataFrame:
     """
     s = _sheets(results)
     r = s.select("result_id", "document_id", F.col("sheet_pos").cast("int").alias("sheet_pos"), F.try_variant_get("s", "$.pageNumber", "int").alias("page"), F.try_variant_get("s", "$.drawing_number", "string").alias("drawing"), shred.at(F.col("s"), "result").alias("r"))
-    r = r.filter(shred.is_object(F.col("r"))).withColumn("line", F.try_variant_get("r", "$.line_number", "string")).withColumn("breaks", rated_breaks(F.col("r")))
+    whole = F.when(shred.is_object(F.col("r")), F.col("r")).otherwise(shred.parse(F.try_variant_get("r", "$", "string")))
+    r = r.withColumn("r", whole).filter(shred.is_object(F.col("r"))).withColumn("line", F.try_variant_get("r", "$.line_number", "string")).withColumn("breaks", rated_breaks(F.col("r")))
     number = F.coalesce(T.cell(F.col("line")), F.col("line"))
     text = lambda f: T.cell(F.try_variant_get("r", f"$.{f}", "string"))
     done = T.completed_line(number, {f: text(f) for f in ("size", "service", "spec_class", "insul_spec")})
