@@ -35,26 +35,24 @@ PROGRESS = 0.05
 
 
 @lru_cache(2)
-def _encoder(path: str):
+def _encoder(vocabulary: bytes):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _counter(path: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, tokens); null and empty texts have 0. The driver reads the vocabulary file, of about a megabyte, and ships it."""
+    with open(vocabulary, "rb") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = _encoder(path).encode_ordinary
+        enc = _encoder(shared.value).encode_ordinary
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "tokens": [0 if t is None else len(enc(t)) for t in b["text"]]})
 
-    return run
-
-
-def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, tokens); null and empty texts have 0."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(_counter(vocabulary), "doc_id bigint, tokens int")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(run, "doc_id bigint, tokens int")
 
 
 def fill(sizes: np.ndarray, capacity: int) -> np.ndarray:
