@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import COORDINATE, WELD_TAG, blank, tokens
+from ..runtime import materialise
 from .relational import components
 
 # Patterns of notes, longest chain of dimensions.
@@ -100,9 +101,11 @@ def chains(pieces: DataFrame, dims: DataFrame, group: list[str]) -> DataFrame:
         at = state.select("*", F.explode("end").alias("at"))
         state = at.join(starts, [*group, "at"]).filter(~F.array_contains("chain", F.col("dim_id").cast("bigint")))
         state = state.select(*group, "piece_id", "goal", F.col("b").alias("end"), F.concat("chain", F.array(F.col("dim_id").cast("bigint"))).alias("chain"), (F.col("total") + F.col("value")).alias("total")).distinct()
+        state = materialise(state, "chain")
         hit = state.filter(F.arrays_overlap("end", "goal")).select(*group, "piece_id", F.struct(F.lit(hop).alias("hops"), "chain", "total").alias("c"))
         found = hit if found is None else found.unionByName(hit)
-        state = state.filter(~F.arrays_overlap("end", "goal"))
+        # A piece that is met has its shortest chain: it goes no further.
+        state = state.join(hit.select(*group, "piece_id").distinct(), [*group, "piece_id"], "left_anti")
     return found.groupBy(*group, "piece_id").agg(F.min("c").alias("c")).select(*group, "piece_id", "c.chain", "c.total")
 
 

@@ -11,8 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side may be broadcast after it has been counted.
-BROADCAST_ROWS = 20_000
+#: Rows and bytes up to which a side may be broadcast after it has been measured.
+BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 32 << 20
 
 
 def get_spark(app: str = "isoweave", cores: str = "*", **conf: str) -> SparkSession:
@@ -92,12 +92,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; reads no more than that many and one."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether ``df`` has at most ``rows`` rows of BROADCAST_BYTES in all as JSON; reads no more than that many rows and one."""
+    text = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    n, size = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(text), F.lit(0))).first()
+    return n <= rows and size <= BROADCAST_BYTES
 
 
 def guarded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if ``df`` is proven small; else ``df`` itself, so that the join shuffles."""
+    """A broadcast hint if ``df`` is proven small in rows and bytes; else ``df`` itself, so that the join shuffles."""
     return F.broadcast(df) if small_enough(df, rows) else df
 
 
