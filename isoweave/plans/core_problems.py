@@ -148,20 +148,20 @@ def p2_units(spark: SparkSession, d: str) -> DataFrame:
 def p2_common(spark: SparkSession, d: str) -> DataFrame:
     """Both values of every quantity row in barg, °C or mm."""
     h = _harmonised(spark, d)
-    return h.rows.select(F.col("id").alias("basis_id"), "quantity", F.round("iso_common", 4).alias("iso_common"), F.round("pll_common", 4).alias("pll_common"))
+    return h.rows.select(F.col("id").alias("basis_id"), "quantity", F.round("iso_common", 6).alias("iso_common"), F.round("pll_common", 6).alias("pll_common"))
 
 
 def p2_line_values(spark: SparkSession, d: str) -> DataFrame:
     """Quantities in the line tags in the common units, read with what all sources taught about spellings."""
     known = _harmonised(spark, d).units
-    return units.convert(_line_fields(spark, d), known, "quantity", "text").select("tag_id", "field", "quantity", F.round("common", 4).alias("common"))
+    return units.convert(_line_fields(spark, d), known, "quantity", "text").select("tag_id", "field", "quantity", F.round("common", 6).alias("common"))
 
 
 def p2_sheet_values(spark: SparkSession, d: str) -> DataFrame:
     """Quantities of every ISO sheet's result in the common units."""
     sheets = materialise(_sheet_fields(spark, d), "sheet-fields")
     known = _harmonised(spark, d, sheets).units
-    return units.convert(sheets, known, "quantity", "text").select("result_id", F.col("sheet_pos").cast("int"), F.col("result_pos").cast("int"), "line", "field", "quantity", F.round("common", 4).alias("common"))
+    return units.convert(sheets, known, "quantity", "text").select("result_id", F.col("sheet_pos").cast("int"), F.col("result_pos").cast("int"), "line", "field", "quantity", F.round("common", 6).alias("common"))
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
@@ -257,11 +257,13 @@ def _unit_sql(u: str) -> str:
     return f"regexp_replace(regexp_replace({t}, 'deg(\\.? ?[cfk])\\b', '\\1', 'g'), '[^a-z0-9/\"%]+', '', 'g')"
 
 
+_GROUPED = lambda x: f"regexp_replace({x}, ',(\\d{{3}})([^\\d]|$)', '\\1\\2', 'g')"
+
+
 def _p2_sql() -> str:
     """Units by their names: what the estimates must come to."""
     known = ", ".join(f"('{q}', '{k}', {s!r}::DOUBLE, {o!r}::DOUBLE)" for q, us in KNOWN_UNITS.items() for s, o, keys in us for k in keys)
     bare = ", ".join(f"('{q}', '', 1.0::DOUBLE, 0.0::DOUBLE)" for q in KNOWN_UNITS)
-    group = lambda x: f"regexp_replace({x}, ',(\\d{{3}})([^\\d]|$)', '\\1\\2', 'g')"
     parts = []
     for side in ("iso", "pll"):
         v, name = _tidy_sql(f"{side}_value"), side.upper()
@@ -271,16 +273,41 @@ def _p2_sql() -> str:
         about = f"lower(regexp_extract(remarks, '(?i)\\b{side}\\s+(pressure|temperature|thickness|length)', 1))"
         said = _unit_sql(f"regexp_extract(remarks, '(?i)(?:\\bunit on {name}\\s*:\\s*|\\b{name}\\b[^;:]*?\\b(?:in|reads|is|are)\\s+)([^;]+)', 1)")
         note = f"coalesce(CASE WHEN {about} = '' OR replace({about}, 'thickness', 'length') = quantity THEN {said} END, '')"
-        parts.append(f"CASE WHEN NOT {missing} THEN TRY_CAST(replace({group(group(number))}, ',', '.') AS DOUBLE) END AS {side}_n, CASE WHEN {beside} <> '' THEN {beside} ELSE {note} END AS {side}_u")
+        parts.append(f"CASE WHEN NOT {missing} THEN TRY_CAST(replace({_GROUPED(_GROUPED(number))}, ',', '.') AS DOUBLE) END AS {side}_n, CASE WHEN {beside} <> '' THEN {beside} ELSE {note} END AS {side}_u")
     return f"""WITH units(quantity, unit, s, o) AS (VALUES {known}, {bare}),
     b AS (SELECT *, CASE WHEN contains(lower(field), 'pressure') THEN 'pressure' WHEN contains(lower(field), 'temperature') THEN 'temperature' WHEN regexp_matches(lower(field), 'thickness|allowance') THEN 'length' END AS quantity FROM design_basis),
     v AS (SELECT id, quantity, {", ".join(parts)} FROM b WHERE quantity IS NOT NULL),
-    c AS (SELECT v.id, v.quantity, v.iso_n * i.s + i.o AS a, v.pll_n * p.s + p.o AS b FROM v JOIN units i ON i.quantity = v.quantity AND i.unit = v.iso_u JOIN units p ON p.quantity = v.quantity AND p.unit = v.pll_u)
-    SELECT id AS basis_id FROM c WHERE CASE WHEN quantity = 'temperature' THEN abs(a - b) > 1.0 + 1e-6 ELSE abs(a - b) > 0.01 * greatest(abs(a), abs(b)) + 1e-9 END"""
+    c AS (SELECT v.id, v.quantity, v.iso_n * i.s + i.o AS a, v.pll_n * p.s + p.o AS b FROM v LEFT JOIN units i ON i.quantity = v.quantity AND i.unit = v.iso_u LEFT JOIN units p ON p.quantity = v.quantity AND p.unit = v.pll_u)"""
+
+
+_P2 = _p2_sql()
+
+
+def _stated_sql(source: str, keep: str, get: Callable[[str], str]) -> str:
+    """Quantity fields of records in the common units, by the unit beside each value."""
+    kind = lambda f: "pressure" if "pressure" in f else "temperature" if "temperature" in f else "length"
+    rows = " UNION ALL ".join(f"SELECT {keep}, '{f}' AS field, '{kind(f)}' AS quantity, {get(f)} AS x FROM {source}" for f in LINE_FIELDS)
+    t = _tidy_sql("x")
+    missing = f"(upper({t}) IN ('', 'NA', 'N/A', 'N.A.', 'NIL', 'NIL.', '-', '--', 'AMB', 'AMB.') OR regexp_matches(upper({t}), '^X+([.,]X+)?( .*)?$'))"
+    number = f"TRY_CAST(replace({_GROUPED(_GROUPED(f"regexp_extract({t}, '[-+]?\\d+(?:[.,]\\d+)*')"))}, ',', '.') AS DOUBLE)"
+    beside = _unit_sql(f"regexp_extract({t}, '[-+]?\\d+(?:[.,]\\d+)*(.*)$', 1)")
+    return f"""st AS ({rows}), sn AS (SELECT *, CASE WHEN NOT {missing} THEN {number} END AS n, {beside} AS u FROM st WHERE x IS NOT NULL),
+    sc AS (SELECT sn.*, round(n * units.s + units.o, 6) AS common FROM sn LEFT JOIN units ON units.quantity = sn.quantity AND units.unit = sn.u)"""
+
+
+_UNITS = _P2[: _P2.index("b AS (SELECT *, CASE WHEN contains")].strip()
 
 
+_WS = r"[\s\x{00a0}\x{feff}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_DIFFER = "CASE WHEN quantity = 'temperature' THEN abs(a - b) > 1.0 + 1e-6 ELSE abs(a - b) > 0.01 * greatest(abs(a), abs(b)) + 1e-9 END"
 ORACLE = {
-    "p2_found": _p2_sql(),
+    "p2_found": f"{_P2} SELECT id AS basis_id FROM c WHERE {_DIFFER}",
+    "p2_common": f"{_P2} SELECT id AS basis_id, quantity, round(a, 6) AS iso_common, round(b, 6) AS pll_common FROM c",
+    "p2_sheet_values": f"""{_UNITS} r AS MATERIALIZED (SELECT id, {_FORMS.format(v="(CAST(raw_json AS JSON) -> '$.sheets')")} AS items FROM extraction_results WHERE json_valid(raw_json)),
+    s AS (SELECT id, CAST(unnest(range(len(items))) AS INTEGER) AS sheet_pos, unnest(items) AS sheet FROM r), q0 AS (SELECT id, sheet_pos, {_FORMS.format(v="(sheet -> '$.result')")} AS a FROM s),
+    q1 AS (SELECT id AS result_id, sheet_pos, CAST(unnest(range(len(a))) AS INTEGER) AS result_pos, unnest(a) AS j FROM q0), q2 AS (SELECT *, upper(regexp_replace(j ->> '$.line_number', '^{_WS}+|{_WS}+$', '', 'g')) AS line FROM q1),
+    {_stated_sql('q2', 'result_id, sheet_pos, result_pos, line', lambda f: f"j ->> '$.{f}'")} SELECT result_id, sheet_pos, result_pos, line, field, quantity, common FROM sc""",
+    "p2_line_values": f"{_UNITS} {_stated_sql("(SELECT * FROM extracted_tags WHERE tag_type = 'line' AND json_valid(attributes))", 'id AS tag_id', lambda f: f"json_extract_string(attributes, '$.{f}')")} SELECT tag_id, field, quantity, common FROM sc",
     "p1_found": _p1_sql(),
     **{f"p1_{c}": _flat_sql(c) for c in _DECLARED},
     "p7_found": _p7_sql() + "SELECT table_name, row_id, ref_field FROM orphans",
