@@ -73,9 +73,12 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def build_index(docs: DataFrame) -> DataFrame:
-    """The index over whole texts, stored, one row per block of documents; null and empty texts have no postings."""
+    """The index over whole texts, stored, one row per block of documents; null and empty texts have no postings.
+
+    A block is a row group of its own, so that a task reads one block at a time however many a file has.
+    """
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return materialise(src.mapInArrow(_index, INDEX), "postings")
+    return materialise(src.mapInArrow(_index, INDEX), "postings", group_rows=1)
 
 
 def eval_words(items: DataFrame) -> tuple[list[tuple[int, list[bytes]]], dict[bytes, int]]:

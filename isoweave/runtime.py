@@ -79,15 +79,17 @@ def own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/isoweave/{spark.sparkContext.applicationId}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, group_rows: int | None = None) -> DataFrame:
     """Write ``df`` as a compressed table in the shared folder and read it back.
 
     Cuts the lineage, so nothing upstream runs twice, and survives the loss of
-    executors: the files belong to no executor.
+    executors: the files belong to no executor. Row groups hold at most ``group_rows``
+    rows; readers take up to 4,096 rows of a row group at once, too much where rows are large.
     """
     spark = df.sparkSession
     path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.option("parquet.block.row.count.limit", str(group_rows)) if group_rows else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
