@@ -69,6 +69,20 @@ def first_in_range(left: DataFrame, right: DataFrame, keys: list[str], x: str, l
     return hit.groupBy(*left.columns).agg(F.min("_pos").alias("pos"))
 
 
+def group_edges(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """(a, b): edges with the components of all pairs of left and right ``node`` of equal keys, one a node instead of one a pair.
+
+    All nodes of a group that has both sides are one component, so each is joined to the least of them (that one to
+    itself). Null keys and nodes pair with nothing.
+    """
+    from ..runtime import guarded_broadcast, materialise
+
+    side = lambda df, n: df.select("node", *keys, F.lit(n).alias("_side")).filter("node is not null")
+    both = side(left, 0).unionByName(side(right, 1))
+    paired = both.groupBy(*keys).agg(F.min("node").alias("b"), F.min("_side").alias("_lo"), F.max("_side").alias("_hi")).filter("_lo < _hi")
+    return both.join(guarded_broadcast(materialise(paired.select(*keys, "b"), "paired")), keys).select(F.col("node").alias("a"), "b")
+
+
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, component): connected components by alternating large-star and small-star steps; the label is the least node.
 
